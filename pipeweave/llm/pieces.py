@@ -39,7 +39,9 @@ from pipeweave.llm.common import bounded_batches, mix64
 SPACE = "▁"
 UNIT = re.compile("▁*[^▁]+|▁+")
 #: Characters worked on together.
-CHUNK = 6_000_000
+CHUNK = 12_000_000
+#: Characters in a unit up to which plain sums are safe at any usual alpha.
+PLAIN = 24
 _MODELS: dict[tuple[str, float], Vocabulary] = {}
 
 
@@ -72,6 +74,7 @@ class Vocabulary:
         texts = {i: self.sp.id_to_piece(i) for i in plain}
         rank = {i: min(float(n), max(0.0, -self.sp.get_score(i))) for i in plain}
         self.byte_weight = -alpha * np.log(1.0 + n)
+        self.lift = 2.6 * alpha
         letters = sorted({c for t in texts.values() for c in t})
         self.letter = np.zeros(0x110001, np.int64)
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
@@ -89,6 +92,12 @@ class Vocabulary:
         for i, t in texts.items():
             if self.piece[states[t]] < 0:
                 self.piece[states[t]], self.weight[states[t]] = i, -alpha * np.log(1.0 + rank[i])
+        depth = np.zeros(len(states))
+        depth[list(states.values())] = [len(t) for t in states]
+        with np.errstate(invalid="ignore"):
+            self.lifted = np.exp(self.weight + self.lift * depth)
+        self.root = np.full(self.width, -1, np.int64)
+        self.root[self.keys[self.keys < self.width]] = self.states[self.keys < self.width]
         self.slots, self.slot_keys = self._slots()
         spelt = [texts[i].replace(SPACE, " ").encode() if i in texts else b"" for i in range(n)]
         for b, i in enumerate(self.bytes):
@@ -128,7 +137,36 @@ class Vocabulary:
         out = np.where(self.slot_keys[a] == key, self.slots[a], -1)
         return np.where(self.slot_keys[b] == key, self.slots[b], out)
 
+    def _backward(self, beta: np.ndarray, units: np.ndarray, plain: bool, start: np.ndarray, lengths: np.ndarray, degree: np.ndarray, first: np.ndarray, end: np.ndarray, weight: np.ndarray, lifted: np.ndarray) -> None:
+        """Fill in the log of the total weight from each node to its unit's end, all units at once, from the end on.
+
+        ``plain``: sums of plain numbers, brought near 1 by a factor for each character; short units of
+        known characters cannot leave the range of a double. Other units are summed as logarithms.
+        """
+        size = lengths[units]
+        units = units[np.argsort(-size, kind="stable")]
+        size = lengths[units]
+        longer = np.searchsorted(-size, -np.arange(int(size.max(initial=0)) + 1))
+        total = np.ones(len(beta)) if plain else beta
+        for r in range(len(longer) - 2, -1, -1):
+            node = start[units[: longer[r]]] + r
+            deg, e0 = degree[node], first[node]
+            to = end[e0]
+            value = lifted[e0] * total[to] if plain else weight[e0] + total[to]
+            for d in range(1, int(deg.max(initial=1))):
+                more = np.flatnonzero(deg > d)
+                e = e0[more] + d
+                to = end[e]
+                if plain:
+                    value[more] += lifted[e] * total[to]
+                else:
+                    value[more] = np.logaddexp(value[more], weight[e] + total[to])
+            total[node] = value
+            if plain:
+                beta[node] = np.log(value) - self.lift * (size[: longer[r]] - r)
+
     def lattices(self, units: list[str]) -> Lattices:
+        units = [SPACE + u for u in units]
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         start = np.cumsum(lengths + 1) - lengths - 1
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -138,11 +176,11 @@ class Vocabulary:
         code = np.full(nodes + 1, 0x110000, np.int64)
         code[at] = points
         letter = self.letter[code]
-        state, here, depth = np.zeros(len(at), np.int64), at, 0
+        state, here, depth = at, at, 0
         found: list[tuple[np.ndarray, np.ndarray]] = []  # by length of piece: nodes, states
         degree = np.zeros(nodes + 1, np.int32)
         while len(here):
-            state = self.step(state, letter[here + depth])
+            state = self.step(state, letter[here + depth]) if depth else self.root[letter[here]]
             live = state >= 0
             here, state = here[live], state[live]
             depth += 1
@@ -156,13 +194,13 @@ class Vocabulary:
         first = np.zeros(nodes + 2, np.int32)
         np.cumsum(degree, out=first[1:])
         edges = int(first[-1])
-        end, piece, weight = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges)
+        end, piece, weight, lifted = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges), np.zeros(edges)
         free = first[:-1].copy()
         for size in range(len(found), 0, -1):
             here, state = found[size - 1]
             e = free[here]
             free[here] += 1
-            end[e], piece[e], weight[e] = here + size, self.piece[state], self.weight[state]
+            end[e], piece[e], weight[e], lifted[e] = here + size, self.piece[state], self.weight[state], self.lifted[state]
         byte_ids: list[tuple[int, ...]] = []
         known: dict[int, int] = {}
         for e, c in zip(free[bare].tolist(), code[bare].tolist(), strict=True):
@@ -171,19 +209,11 @@ class Vocabulary:
                 byte_ids.append(tuple(self.bytes[b] for b in chr(c).encode("utf-8", "replace")))
             piece[e], weight[e] = -1 - known[c], len(byte_ids[known[c]]) * self.byte_weight
         end[free[bare]] = bare + 1
-        # backward sums, all units at once, by distance from the unit's start
+        rough = lengths > PLAIN
+        rough[owner[~single[at]]] = True
         beta = np.zeros(nodes + 1)
-        by_length = np.argsort(-lengths, kind="stable")
-        longer = np.searchsorted(-lengths[by_length], -np.arange(int(lengths.max(initial=0)) + 1))
-        for r in range(len(longer) - 2, -1, -1):
-            node = start[by_length[: longer[r]]] + r
-            deg, e0 = degree[node], first[node]
-            value = weight[e0] + beta[end[e0]]
-            for d in range(1, int(deg.max(initial=1))):
-                more = np.flatnonzero(deg > d)
-                e = e0[more] + d
-                value[more] = np.logaddexp(value[more], weight[e] + beta[end[e]])
-            beta[node] = value
+        self._backward(beta, np.flatnonzero(~rough), True, start, lengths, degree, first, end, weight, lifted)
+        self._backward(beta, np.flatnonzero(rough), False, start, lengths, degree, first, end, weight, lifted)
         log_prob = weight + beta[end] - np.repeat(beta, degree)
         upto = np.cumsum(np.exp(log_prob))
         upto -= np.repeat(np.r_[0.0, upto][first[:-1]], degree)
@@ -199,7 +229,14 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
 
 
 def units_of(text: str | None) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """The units of a text, without the space that each begins with; further spaces as U+2581."""
+    if not text:
+        return []
+    if SPACE not in text:
+        units = text.split(" ")
+        if "" not in units:
+            return units
+    return [u[1:] for u in UNIT.findall(SPACE + text.replace(" ", SPACE))]
 
 
 def row_seed(seed: int, key: object) -> int:
@@ -222,8 +259,8 @@ class Walk:
 def walk(lat: Lattices, unit: np.ndarray, base: np.ndarray) -> Walk:
     """Draw a segmentation of each unit by its probability; ``base`` seeds each draw."""
     n = len(unit)
-    node = lat.start[unit]
-    live = np.arange(n)
+    node = lat.start[unit].astype(np.int32)
+    live = np.arange(n, dtype=np.int32)
     count, log_prob = np.zeros(n, np.int64), np.zeros(n)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     width = np.array([1, *[len(b) for b in lat.byte_ids]], np.int64)
@@ -426,9 +463,9 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[list[np.nd
     number: dict[str, int] = {}
     rows = [np.array([number.setdefault(u, len(number)) for u in units_of(t)], np.int64) for t in texts]
     units = list(number)
-    coded = vocab.sp.encode([u[1:].replace(SPACE, " ") for u in units])
-    lone = [vocab.sp.piece_to_id(SPACE)]
-    coded = [c if c or u != SPACE else lone for c, u in zip(coded, units, strict=True)]
+    coded = vocab.sp.encode([u.replace(SPACE, " ") for u in units])
+    if "" in number:
+        coded[number[""]] = [vocab.sp.piece_to_id(SPACE)]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     start = np.cumsum(sizes) - sizes
     flat = np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum()))
