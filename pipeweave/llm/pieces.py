@@ -23,10 +23,13 @@ columns with the names of the added ones are replaced, others pass through.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +52,35 @@ _MODELS: dict[tuple[str, float], Vocabulary] = {}
 class Lattices:
     """The lattices of distinct units, end to end. Node ``start[u] + i`` lies before character i of unit u.
 
-    The edges of a node lie together, the longest piece first.
+    The edges of a node lie together, the longest piece first. An edge is the number of its kind:
+    a state of the trie, or beyond these a character spelt in bytes.
     """
 
     start: np.ndarray
     first: np.ndarray  # first edge of each node
-    end: np.ndarray
-    piece: np.ndarray  # >= 0: a token; < 0: the bytes of a character, entry -1 - piece of byte_ids
-    log_prob: np.ndarray  # of the edge, given its node
-    upto: np.ndarray  # sum of the probabilities of the node's edges up to and with this one
-    byte_ids: list[tuple[int, ...]] = field(default_factory=list)
+    kind: np.ndarray
+    beta: np.ndarray  # of each node: log of the weight of all ways to its unit's end
+    size: np.ndarray  # of a kind: characters
+    weight: np.ndarray  # of a kind: log weight
+    token: np.ndarray  # of a kind: token id, or -1 - entry of byte_ids
+    byte_ids: list[tuple[int, ...]]
+
+    def end(self, node: int, edge: int) -> int:
+        return node + int(self.size[self.kind[edge]])
+
+    def log_prob(self, node: int, edge: int) -> float:
+        return float(self.weight[self.kind[edge]] + self.beta[self.end(node, edge)] - self.beta[node])
+
+    def edges(self, node: int) -> range:
+        return range(int(self.first[node]), int(self.first[node + 1]))
+
+    def tokens(self, edge: int) -> tuple[int, ...]:
+        t = int(self.token[self.kind[edge]])
+        return (t,) if t >= 0 else self.byte_ids[-1 - t]
+
+    def log_mass(self, unit: int, path: tuple[int, ...]) -> float:
+        """Log-probability of one segmentation of a unit."""
+        return float(self.weight[self.kind[list(path)]].sum() - self.beta[self.start[unit]])
 
 
 class Vocabulary:
@@ -92,10 +114,9 @@ class Vocabulary:
         for i, t in texts.items():
             if self.piece[states[t]] < 0:
                 self.piece[states[t]], self.weight[states[t]] = i, -alpha * np.log(1.0 + rank[i])
-        depth = np.zeros(len(states))
-        depth[list(states.values())] = [len(t) for t in states]
-        with np.errstate(invalid="ignore"):
-            self.lifted = np.exp(self.weight + self.lift * depth)
+        self.depth = np.zeros(len(states), np.int64)
+        self.depth[list(states.values())] = [len(t) for t in states]
+        self.lifted = np.exp(self.weight + self.lift * self.depth)
         self.root = np.full(self.width, -1, np.int64)
         self.root[self.keys[self.keys < self.width]] = self.states[self.keys < self.width]
         self.slots, self.slot_keys = self._slots()
@@ -137,33 +158,36 @@ class Vocabulary:
         out = np.where(self.slot_keys[a] == key, self.slots[a], -1)
         return np.where(self.slot_keys[b] == key, self.slots[b], out)
 
-    def _backward(self, beta: np.ndarray, units: np.ndarray, plain: bool, start: np.ndarray, lengths: np.ndarray, degree: np.ndarray, first: np.ndarray, end: np.ndarray, weight: np.ndarray, lifted: np.ndarray) -> None:
-        """Fill in the log of the total weight from each node to its unit's end, all units at once, from the end on.
+    def _backward(self, lat: Lattices, units: np.ndarray, lengths: np.ndarray, lifted: np.ndarray | None) -> None:
+        """Fill in ``beta`` of the units, all at once, from their ends on.
 
-        ``plain``: sums of plain numbers, brought near 1 by a factor for each character; short units of
-        known characters cannot leave the range of a double. Other units are summed as logarithms.
+        With ``lifted`` (weights as plain numbers, brought near 1 by a factor for each character) sums
+        are plain: short units of known characters cannot leave the range of a double. Other
+        units are summed as logarithms.
         """
         size = lengths[units]
         units = units[np.argsort(-size, kind="stable")]
         size = lengths[units]
         longer = np.searchsorted(-size, -np.arange(int(size.max(initial=0)) + 1))
-        total = np.ones(len(beta)) if plain else beta
+        total = lat.beta if lifted is None else np.ones(len(lat.beta))
         for r in range(len(longer) - 2, -1, -1):
-            node = start[units[: longer[r]]] + r
-            deg, e0 = degree[node], first[node]
-            to = end[e0]
-            value = lifted[e0] * total[to] if plain else weight[e0] + total[to]
-            for d in range(1, int(deg.max(initial=1))):
-                more = np.flatnonzero(deg > d)
-                e = e0[more] + d
-                to = end[e]
-                if plain:
-                    value[more] += lifted[e] * total[to]
+            node = lat.start[units[: longer[r]]] + r
+            edge = lat.first[node]
+            degree = lat.first[node + 1] - edge
+            kind = lat.kind[edge]
+            to = node + lat.size[kind]
+            value = lat.weight[kind] + total[to] if lifted is None else lifted[kind] * total[to]
+            for d in range(1, int(degree.max(initial=1))):
+                more = np.flatnonzero(degree > d)
+                kind = lat.kind[edge[more] + d]
+                to = node[more] + lat.size[kind]
+                if lifted is None:
+                    value[more] = np.logaddexp(value[more], lat.weight[kind] + total[to])
                 else:
-                    value[more] = np.logaddexp(value[more], weight[e] + total[to])
+                    value[more] += lifted[kind] * total[to]
             total[node] = value
-            if plain:
-                beta[node] = np.log(value) - self.lift * (size[: longer[r]] - r)
+            if lifted is not None:
+                lat.beta[node] = np.log(value) - self.lift * (size[: longer[r]] - r)
 
     def lattices(self, units: list[str]) -> Lattices:
         units = [SPACE + u for u in units]
@@ -193,33 +217,29 @@ class Vocabulary:
         degree[bare] += 1
         first = np.zeros(nodes + 2, np.int32)
         np.cumsum(degree, out=first[1:])
-        edges = int(first[-1])
-        end, piece, weight, lifted = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges), np.zeros(edges)
+        kind = np.empty(int(first[-1]), np.int32)
         free = first[:-1].copy()
-        for size in range(len(found), 0, -1):
-            here, state = found[size - 1]
+        for here, state in found[::-1]:
             e = free[here]
             free[here] += 1
-            end[e], piece[e], weight[e], lifted[e] = here + size, self.piece[state], self.weight[state], self.lifted[state]
+            kind[e] = state
         byte_ids: list[tuple[int, ...]] = []
         known: dict[int, int] = {}
-        for e, c in zip(free[bare].tolist(), code[bare].tolist(), strict=True):
+        for c in code[bare].tolist():
             if c not in known:
                 known[c] = len(byte_ids)
                 byte_ids.append(tuple(self.bytes[b] for b in chr(c).encode("utf-8", "replace")))
-            piece[e], weight[e] = -1 - known[c], len(byte_ids[known[c]]) * self.byte_weight
-        end[free[bare]] = bare + 1
+        kind[free[bare]] = [len(self.piece) + known[c] for c in code[bare].tolist()]
+        extra = len(byte_ids)
+        size = np.concatenate([self.depth, np.ones(extra, np.int64)])
+        weight = np.concatenate([self.weight, [len(x) * self.byte_weight for x in byte_ids]])
+        token = np.concatenate([self.piece, -1 - np.arange(extra)]).astype(np.int32)
+        lat = Lattices(start, first, kind, np.zeros(nodes + 1), size, weight, token, byte_ids)
         rough = lengths > PLAIN
         rough[owner[~single[at]]] = True
-        beta = np.zeros(nodes + 1)
-        self._backward(beta, np.flatnonzero(~rough), True, start, lengths, degree, first, end, weight, lifted)
-        self._backward(beta, np.flatnonzero(rough), False, start, lengths, degree, first, end, weight, lifted)
-        log_prob = weight + beta[end] - np.repeat(beta, degree)
-        upto = np.cumsum(np.exp(log_prob))
-        upto -= np.repeat(np.r_[0.0, upto][first[:-1]], degree)
-        last = first[1:][degree > 0] - 1
-        upto[last] = 1.0
-        return Lattices(start, first, end, piece, log_prob, upto, byte_ids)
+        self._backward(lat, np.flatnonzero(~rough), lengths, self.lifted)
+        self._backward(lat, np.flatnonzero(rough), lengths, None)
+        return lat
 
 
 def vocabulary(path: str, alpha: float) -> Vocabulary:
@@ -259,97 +279,89 @@ class Walk:
 def walk(lat: Lattices, unit: np.ndarray, base: np.ndarray) -> Walk:
     """Draw a segmentation of each unit by its probability; ``base`` seeds each draw."""
     n = len(unit)
-    node = lat.start[unit].astype(np.int32)
+    node = lat.start[unit]
     live = np.arange(n, dtype=np.int32)
-    count, log_prob = np.zeros(n, np.int64), np.zeros(n)
+    count, log_prob = np.zeros(n, np.int64), -lat.beta[node]
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     width = np.array([1, *[len(b) for b in lat.byte_ids]], np.int64)
     step = 0
     while len(live):
         edge, stop = lat.first[node], lat.first[node + 1]
+        kind = lat.kind[edge]
         todo = np.flatnonzero(stop - edge > 1)
+        here, last, spot, k = node[todo], stop[todo] - 1, edge[todo], kind[todo]
         with np.errstate(over="ignore"):
             u = _uniform(base[live[todo]] + np.uint64(step) * np.uint64(0x8CB92BA72F3D8DD7))
+        floor = lat.beta[here]
         while len(todo):
-            further = u > lat.upto[edge[todo]]
-            todo, u = todo[further], u[further]
-            edge[todo] += 1
-        steps.append((live, edge))
-        log_prob[live] += lat.log_prob[edge]
-        piece = lat.piece[edge]
-        count[live] += width[np.maximum(-piece, 0)]
-        node = lat.end[edge]
-        more = lat.first[node + 1] > lat.first[node]  # the last node of each unit has no edge
+            # the probability of the edge is taken off until the number drawn is used up
+            u -= np.exp(lat.weight[k] + lat.beta[here + lat.size[k]] - floor)
+            further = np.flatnonzero((u > 0) & (spot < last))
+            todo, here, last, spot, u, floor = todo[further], here[further], last[further], spot[further] + 1, u[further], floor[further]
+            k = lat.kind[spot]
+            kind[todo] = k
+        log_prob[live] += lat.weight[kind]
+        token = lat.token[kind]
+        steps.append((live, token))
+        count[live] += 1
+        bare = np.flatnonzero(token < 0)
+        count[live[bare]] += width[-token[bare]] - 1
+        node = node + lat.size[kind]
+        more = np.flatnonzero(lat.first[node + 1] > lat.first[node])  # the last node of each unit has no edge
         live, node = live[more], node[more]
         step += 1
     token_start = np.zeros(n + 1, np.int64)
     np.cumsum(count, out=token_start[1:])
     tokens = np.empty(int(token_start[-1]), np.int32)
     at = token_start[:-1].copy()
-    for rows, edge in steps:
-        piece = lat.piece[edge]
+    for rows, token in steps:
         place = at[rows]
-        tokens[place] = piece
-        bare = np.flatnonzero(piece < 0)
-        for i in bare.tolist():
-            ids = lat.byte_ids[-1 - piece[i]]
-            tokens[place[i] : place[i] + len(ids)] = ids
-        at[rows] = place + width[np.maximum(-piece, 0)]
-    return Walk(tokens, token_start, log_prob)
-
-
-def tokens_of(lat: Lattices, path: tuple[int, ...]) -> list[int]:
-    out: list[int] = []
-    for e in path:
-        p = int(lat.piece[e])
-        out += [p] if p >= 0 else lat.byte_ids[-1 - p]
-    return out
+        tokens[place] = token
+        at[rows] = place + 1
+        bare = np.flatnonzero(token < 0)
+        for b, i in enumerate((-1 - token[bare]).tolist()):
+            ids = lat.byte_ids[i]
+            tokens[place[bare[b]] : place[bare[b]] + len(ids)] = ids
+        at[rows[bare]] += width[-token[bare]] - 1
+    return Walk(tokens, token_start, np.minimum(log_prob, 0.0))
 
 
 def path_of(lat: Lattices, unit: int, tokens: np.ndarray) -> tuple[int, ...]:
     """The edges of a unit that spell the tokens."""
-    node, out, i = int(lat.start[unit]), [], 0
-    while i < len(tokens):
-        for e in range(int(lat.first[node]), int(lat.first[node + 1])):
-            p = int(lat.piece[e])
-            ids = (p,) if p >= 0 else lat.byte_ids[-1 - p]
-            if tuple(tokens[i : i + len(ids)].tolist()) == ids:
-                out.append(e)
-                node, i = int(lat.end[e]), i + len(ids)
-                break
-        else:
-            raise ValueError("no such path")
+    node, out, i, row = int(lat.start[unit]), [], 0, tokens.tolist()
+    while i < len(row):
+        e = next(e for e in lat.edges(node) if tuple(row[i : i + len(lat.tokens(e))]) == lat.tokens(e))
+        out.append(e)
+        node, i = lat.end(node, e), i + len(lat.tokens(e))
     return tuple(out)
 
 
-def draw_other(lat: Lattices, unit: int, taken: list[tuple[int, ...]], rng: np.random.Generator) -> tuple[tuple[int, ...], float] | None:
-    """A segmentation of the unit outside ``taken``, by its probability among those, and its log-probability.
+def draw_other(lat: Lattices, unit: int, taken: list[tuple[int, ...]], rng: Random) -> tuple[int, ...] | None:
+    """A segmentation of the unit outside ``taken``, by its probability among those. None: nothing is left.
 
-    At every node the mass of the taken paths that still agree is left out. None: nothing is left.
+    At every node the mass of the taken paths that still agree is left out.
     """
     node, path, log_prob = int(lat.start[unit]), (), 0.0
-    mass = {t: float(np.exp(lat.log_prob[list(t)].sum())) for t in taken}
-    while lat.first[node] < lat.first[node + 1]:
-        edges = range(int(lat.first[node]), int(lat.first[node + 1]))
+    mass = {t: math.exp(lat.log_mass(unit, t)) for t in taken}
+    while len(edges := lat.edges(node)):
         free = []
         for e in edges:
             same = [t for t in mass if t[: len(path) + 1] == (*path, e)]
-            whole = np.exp(log_prob + float(lat.log_prob[e]))
+            whole = math.exp(log_prob + lat.log_prob(node, e))
             left = whole - sum(mass[t] for t in same)
             # what rounding leaves of a fully taken edge is no mass
-            free.append(left if left > 1e-12 * max(whole, 1e-300) and not (same and left < 1e-9 * whole) else 0.0)
-        total = sum(free)
-        if total <= 0:
+            free.append(left if left > 0 and not (same and left < 1e-9 * whole) else 0.0)
+        if sum(free) <= 0:
             return None
-        pick = rng.random() * total
+        pick = rng.random() * sum(free)
         for candidate, f in zip(edges, free, strict=True):
             if f > 0:
                 e = candidate
                 pick -= f
                 if pick < 0:
                     break
-        path, log_prob, node = (*path, e), log_prob + float(lat.log_prob[e]), int(lat.end[e])
-    return path, log_prob
+        path, log_prob, node = (*path, e), log_prob + lat.log_prob(node, e), lat.end(node, e)
+    return path
 
 
 @dataclass
@@ -407,7 +419,7 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[object],
             if parent is None:
                 s = Sample(value, tail, tail_start, tail_log, _rest_values(tail_log, 0, value, own))
             else:
-                rng = np.random.default_rng([int(seeds[d] & np.uint64(0x7FFFFFFF)), turn, i])
+                rng = Random(int(seeds[d]) + turn)
                 u = int(units[d][i])
                 if i not in parent.taken:
                     parent.taken[i] = [path_of(lat, u, parent.tokens[parent.token_start[i] : parent.token_start[i + 1]])]
@@ -416,19 +428,19 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[object],
                     parent.frontier[i] = -np.inf
                     after[d] = _next(done[d])
                     continue
-                path, log_other = other
-                parent.taken[i].append(path)
-                middle = tokens_of(lat, path)
+                log_other = lat.log_mass(u, other)
+                parent.taken[i].append(other)
+                middle = [t for e in other for t in lat.tokens(e)]
                 cut = int(parent.token_start[i])
                 tokens = np.concatenate([parent.tokens[:cut], np.array(middle, np.int32), tail])
                 starts = np.concatenate([parent.token_start[: i + 1], cut + len(middle) + tail_start])
                 logs = np.concatenate([parent.log_prob[:i], [log_other], tail_log])
                 s = Sample(value, tokens, starts, logs, _rest_values(logs, i + 1, value, own[i + 1 :]))
                 # what is left of the set that was split: neither the parent's segmentation of the unit nor this one
-                gone = sum(float(np.exp(lat.log_prob[list(t)].sum())) for t in parent.taken[i])
+                gone = sum(math.exp(lat.log_mass(u, t)) for t in parent.taken[i])
                 left = 1.0 - gone
                 rest = np.log(left) if left > 1e-9 else -np.inf
-                parent.frontier[i] = -np.logaddexp(-value, np.log(rng.exponential()) - (parent.log_prob[:i].sum() + rest))
+                parent.frontier[i] = -np.logaddexp(-value, np.log(rng.expovariate(1.0)) - (parent.log_prob[:i].sum() + rest))
             done[d].append(s)
             after[d] = _next(done[d])
         pending = {d: x for d, x in after.items() if x[2] > -np.inf}
@@ -460,16 +472,18 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[list[np.nd
 
     Distinct units are encoded once.
     """
-    number: dict[str, int] = {}
-    rows = [np.array([number.setdefault(u, len(number)) for u in units_of(t)], np.int64) for t in texts]
-    units = list(number)
-    coded = vocab.sp.encode([u.replace(SPACE, " ") for u in units])
+    cut_up = [units_of(t) for t in texts]
+    units = list(dict.fromkeys(chain.from_iterable(cut_up)))
+    number = {u: i for i, u in enumerate(units)}
+    total = sum(map(len, cut_up))
+    every = np.fromiter(map(number.__getitem__, chain.from_iterable(cut_up)), np.int64, total)
+    rows = np.split(every, np.cumsum([len(r) for r in cut_up])[:-1]) if cut_up else []
+    coded = vocab.sp.encode([u.replace(SPACE, " ") for u in units], num_threads=1)
     if "" in number:
         coded[number[""]] = [vocab.sp.piece_to_id(SPACE)]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     start = np.cumsum(sizes) - sizes
-    flat = np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum()))
-    every = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    flat = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
     take = sizes[every]
     ends = np.cumsum(take)
     at = np.repeat(start[every] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)
