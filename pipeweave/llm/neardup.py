@@ -34,7 +34,8 @@ from pipeweave.llm.common import Workspace, bounded_batches, mix64
 WIDTH, SAMPLES, BANDS, BITS = 5, 128, 32, 256
 #: XOR bits above which a pair cannot be similar enough: 5.4 standard deviations above the mean at 0.75.
 MOST_BITS = 92
-BLOCK = 128
+#: Shingles in one block of a bucket, about (2 MB); a task holds two blocks.
+BLOCK = 262_144
 _FEATURES = "id long, n long, h1 long, h2 long, bands array<long>, sketch array<long>"
 _FACTORS = [pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1 for j in range(WIDTH)]
 
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     features = space.save(source.mapInArrow(_features, _FEATURES), "features")
     real = features.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = real.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = real.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = space.save(classes, "classes")
     placed = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1")
@@ -267,11 +268,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     rest = labelled(larger.drop("comp"), "id", "comp")
     split = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    rest = rest.join(split, "bucket").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("comp", "id"), F.col("blocks")).cast("int"))
+    known = classes.select("id", "n", "bands", "sketch").dropDuplicates(["id"])
+    rest = space.save(rest.join(split, "bucket").join(known, "id"), "rest")
+    weight = rest.groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    rest = rest.join(weight, "bucket").withColumn("block", F.pmod(F.xxhash64("comp", "id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.withColumns({"one": F.least("block", "mate"), "two": F.greatest("block", "mate")})
-    rest = rest.join(sets, "id").join(classes.select("id", "bands", "sketch").dropDuplicates(["id"]), "id")
+    rest = rest.withColumns({"one": F.least("block", "mate"), "two": F.greatest("block", "mate")}).join(sets, "id")
     spread = rest.groupBy("bucket", "band", "one", "two")
     cross = spread.applyInArrow(lambda k, t: _blocks(k, t, percent), "a long, b long")
     label = settle(cross, "rest")
