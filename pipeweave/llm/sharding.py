@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pipeweave.llm.common import Workspace
 
-SALT = 8
+SALT, SPREAD = 8, 16
 #: Rows that one bucket of a shard holds on average, for ranking.
 PER_BUCKET = 50_000
 
@@ -69,18 +69,18 @@ def balanced_shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         )
         moves = plan.where("shard <> home").join(F.broadcast(admit), "home").select("g", "shard", "home", "chance")
         moves = moves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        # a group that fits moves as a whole, so the draw is the group's unless the group exceeds its share
-        size = F.col("chance") >= F.lit(1.0)
-        lucky = size | (_draw(F.col("g"), F.lit(r)) < F.col("chance") * F.lit(0.5)) | (_draw(F.col("twin"), F.lit(r)) < F.col("chance") * F.lit(0.5))
+        # where room is short, half of it goes to whole groups and half to single documents
+        lucky = (F.col("chance") >= 1) | (_draw(F.col("g"), F.lit(r)) < F.col("chance") * F.lit(0.5)) | (_draw(F.col("twin"), F.lit(r)) < F.col("chance") * F.lit(0.5))
         moved = linked.join(moves, ["g", "shard", "salt"], "left")
         moved = moved.select("twin", "salt", "g", F.when(F.col("home").isNotNull() & lucky, F.col("home")).otherwise(F.col("shard")).alias("shard"))
         linked = space.save(moved, f"linked-{r}")
         space.drop(f"linked-{r - 1}")
     placed = state.where("g is null").select("id", "twin", "size", "crc", "g", "shard")
     placed = placed.unionByName(state.where("g is not null").drop("shard", "salt", "g").join(linked.select("twin", "g", "shard"), "twin").select("id", "twin", "size", "crc", "g", "shard"))
-    # linked groups first; a group's members have one bucket, but for a large group, which its salt spreads
+    # linked groups first; a group's members lie in SPREAD buckets side by side
     buckets = max(1, n // shards // PER_BUCKET) * 16
-    order = F.when(F.col("g").isNotNull(), F.pmod(F.xxhash64("g"), F.lit(buckets))).otherwise(F.lit(buckets) + F.pmod(F.xxhash64("twin"), F.lit(buckets)))
+    within = F.pmod(F.xxhash64("twin"), F.lit(buckets * SPREAD))
+    order = F.when(F.col("g").isNotNull(), F.pmod(F.xxhash64("g"), F.lit(buckets)) * SPREAD + within % SPREAD).otherwise(F.lit(buckets * SPREAD) + within)
     placed = space.save(placed.withColumn("bucket", order), "placed")
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import bounded_batches, bounded_sample, fit_logistic
+from pipeweave.llm.common import Workspace, bounded_batches, bounded_sample, fit_logistic
 
 WORD = re.compile(r"[^\W_]+")
 #: Labelled rows that the model is fitted on at most, and words that it keeps at most.
@@ -157,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     chosen = spark.createDataFrame(drawn.collect(), "__key long, __y int").dropDuplicates(["__key"])
     train = docs.join(F.broadcast(chosen), docs[key] == chosen["__key"]).select("__y", F.col(text).alias("__text")).where(F.col("__text").isNotNull())
     counts = train.mapInArrow(_word_counts, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
+    counts = Workspace(spark, "toxicity").save(counts, "words")
     space_t, space_o, n_words = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0)), F.count(F.lit(1))).first()
     if not space_t or not space_o:
         return ToxicityModel({})

@@ -240,8 +240,8 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
         name = f"part-{part:06d}-{made:05d}"
         # old crawls come in either version of the format
         arc = write_arc(held, f"{name}.arc", version=1 + made % 2)
-        _store(f"{root}/{name}.arc.gz", gzip.compress(arc, 1, mtime=0), unique)
-        warc = b"".join(gzip.compress(r, 4, mtime=0) for r in convert(arc, original))
+        _store(f"{root}/{name}.arc.gz", gzip.compress(arc, 6, mtime=0), unique)
+        warc = b"".join(gzip.compress(r, 6, mtime=0) for r in convert(arc, original))
         _store(f"{root}/{name}.warc.gz", warc, unique)
         row = pa.RecordBatch.from_pydict({"path": [f"{root}/{name}.warc.gz"], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(warc)], pa.int64())})
         made, size = made + 1, 0
