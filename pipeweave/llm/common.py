@@ -73,6 +73,21 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)).limit(limit)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system when a task ends: Python workers are kept for later tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit affects every output bit."""
     with np.errstate(over="ignore"):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import bounded_batches
+from pipeweave.llm.common import bounded_batches, release_memory
 
 ORDERS = 3
 PROFILE = 400
@@ -143,6 +143,7 @@ def _counts(batches: Iterator[pa.RecordBatch], orders: int, flush: int) -> Itera
     for lang in list(pending):
         merge(lang)
     yield from out()
+    release_memory()
 
 
 def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", size: int = PROFILE, orders: int = ORDERS, flush: int = 1_000_000) -> LanguageModel:

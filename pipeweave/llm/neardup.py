@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import Workspace, bounded_batches, mix64
+from pipeweave.llm.common import Workspace, bounded_batches, mix64, release_memory
 
 WIDTH, SAMPLES, BANDS, BITS = 5, 128, 32, 256
 #: XOR bits above which a pair cannot be similar enough: 5.4 standard deviations above the mean at 0.75.
@@ -120,11 +120,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches.append(odd_sketch(m).view(np.int64))
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "bands": pa.array(bands, longs), "sketch": pa.array(sketches, longs)})
+    release_memory()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_pydict({"id": batch.column(0), "shingles": pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())})
+    release_memory()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -143,6 +145,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(mask), "b": batch.column(1).filter(mask)})
+    release_memory()
 
 
 def block_links(comp: np.ndarray, bands: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, band: int, percent: int, same: bool) -> list[tuple[int, int]]:
@@ -222,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """``key``, ``n_shingles``, ``component_id`` (smallest id of the document's group) and ``kept``
     (the document is that one), a row for each row of ``docs``."""
     spark = docs.sparkSession
-    bounded_batches(spark, 512)
+    bounded_batches(spark, 256)
     space = Workspace(spark, "neardup")
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     features = space.save(source.mapInArrow(_features, _FEATURES), "features")

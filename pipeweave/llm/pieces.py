@@ -37,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import bounded_batches, mix64
+from pipeweave.llm.common import bounded_batches, mix64, release_memory
 
 SPACE = "▁"
 UNIT = re.compile("▁*[^▁]+|▁+")
 #: Characters worked on together.
-CHUNK = 12_000_000
+CHUNK = 4_000_000
 #: Characters in a unit up to which plain sums are safe at any usual alpha.
 PLAIN = 24
 _MODELS: dict[tuple[str, float], Vocabulary] = {}
@@ -98,7 +98,7 @@ class Vocabulary:
         self.byte_weight = -alpha * np.log(1.0 + n)
         self.lift = 2.6 * alpha
         letters = sorted({c for t in texts.values() for c in t})
-        self.letter = np.zeros(0x110001, np.int64)
+        self.letter = np.zeros(0x110001, np.int32)
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.width = len(letters) + 1
         states: dict[str, int] = {"": 0}
@@ -114,10 +114,10 @@ class Vocabulary:
         for i, t in texts.items():
             if self.piece[states[t]] < 0:
                 self.piece[states[t]], self.weight[states[t]] = i, -alpha * np.log(1.0 + rank[i])
-        self.depth = np.zeros(len(states), np.int64)
+        self.depth = np.zeros(len(states), np.int32)
         self.depth[list(states.values())] = [len(t) for t in states]
         self.lifted = np.exp(self.weight + self.lift * self.depth)
-        self.root = np.full(self.width, -1, np.int64)
+        self.root = np.full(self.width, -1, np.int32)
         self.root[self.keys[self.keys < self.width]] = self.states[self.keys < self.width]
         self.slots, self.slot_keys = self._slots()
         spelt = [texts[i].replace(SPACE, " ").encode() if i in texts else b"" for i in range(n)]
@@ -131,7 +131,7 @@ class Vocabulary:
         """A hash table with two places for each key, at most a quarter full."""
         bits = int(np.ceil(np.log2(max(16, 6 * len(self.keys)))))
         self.shift = np.uint64(64 - bits)
-        slots, held = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        slots, held = np.full(1 << bits, -1, np.int32), np.full(1 << bits, -1, np.int64)
         one, two = self._places(self.keys)
         for i in range(len(self.keys)):
             key, state, p = int(self.keys[i]), int(self.states[i]), int(one[i])
@@ -153,9 +153,9 @@ class Vocabulary:
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The next state, or -1."""
-        key = state * self.width + letter
+        key = state.astype(np.int64) * self.width + letter
         a, b = self._places(key)
-        out = np.where(self.slot_keys[a] == key, self.slots[a], -1)
+        out = np.where(self.slot_keys[a] == key, self.slots[a], np.int32(-1))
         return np.where(self.slot_keys[b] == key, self.slots[b], out)
 
     def _backward(self, lat: Lattices, units: np.ndarray, lengths: np.ndarray, lifted: np.ndarray | None) -> None:
@@ -195,9 +195,9 @@ class Vocabulary:
         start = np.cumsum(lengths + 1) - lengths - 1
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         nodes = int((lengths + 1).sum())
-        owner = np.repeat(np.arange(len(units)), lengths)
-        at = np.arange(len(points)) + owner
-        code = np.full(nodes + 1, 0x110000, np.int64)
+        owner = np.repeat(np.arange(len(units), dtype=np.int32), lengths)
+        at = np.arange(len(points), dtype=np.int32) + owner
+        code = np.full(nodes + 1, 0x110000, np.int32)
         code[at] = points
         letter = self.letter[code]
         state, here, depth = at, at, 0
@@ -219,9 +219,10 @@ class Vocabulary:
         np.cumsum(degree, out=first[1:])
         kind = np.empty(int(first[-1]), np.int32)
         free = first[:-1].copy()
-        for here, state in found[::-1]:
+        while found:
+            here, state = found.pop()
             e = free[here]
-            free[here] += 1
+            free[here] = e + 1
             kind[e] = state
         byte_ids: list[tuple[int, ...]] = []
         known: dict[int, int] = {}
@@ -231,7 +232,7 @@ class Vocabulary:
                 byte_ids.append(tuple(self.bytes[b] for b in chr(c).encode("utf-8", "replace")))
         kind[free[bare]] = [len(self.piece) + known[c] for c in code[bare].tolist()]
         extra = len(byte_ids)
-        size = np.concatenate([self.depth, np.ones(extra, np.int64)])
+        size = np.concatenate([self.depth, np.ones(extra, np.int32)])
         weight = np.concatenate([self.weight, [len(x) * self.byte_weight for x in byte_ids]])
         token = np.concatenate([self.piece, -1 - np.arange(extra)]).astype(np.int32)
         lat = Lattices(start, first, kind, np.zeros(nodes + 1), size, weight, token, byte_ids)
@@ -518,14 +519,15 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 _SAMPLE = pa.struct([("value", pa.float64()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 2.0, seed: int = 7, check: bool = True, sample_ids: bool = True, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 2.0, seed: int = 7, check: bool = True, sample_ids: bool = True, ids: bool = True, rows: int = 800) -> DataFrame:
     """Add ``ids`` (the library's encoding), ``n_tokens``, ``ids_crc32``, ``decoded`` (it decodes to the text, null
     if not checked) and ``samples``: distinct segmentations, best perturbed value first.
 
     ``ids`` and ``sample_ids`` say whether to return the token arrays beside their lengths and crc32 (over
-    32-bit little-endian ids). ``model`` is the path of a SentencePiece file on every executor.
+    32-bit little-endian ids). ``rows`` texts are worked on together: more share more units, and take more
+    memory (some 60 MB for each MB of text). ``model`` is the path of a SentencePiece file on every executor.
     """
-    bounded_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession, rows)
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("decoded", pa.bool_()), ("samples", pa.list_(_SAMPLE))])
     sql = "struct<ids:array<int>,n_tokens:int,ids_crc32:bigint,decoded:boolean,samples:array<struct<value:double,log_prob:double,inclusion:double,n_tokens:int,ids_crc32:bigint,ids:array<int>>>>"
 
@@ -544,6 +546,7 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
                     found = [{"value": v, "log_prob": lp, "inclusion": q, "n_tokens": len(x), "ids_crc32": zlib.crc32(np.ascontiguousarray(x, np.int32).tobytes()), "ids": x if sample_ids else None} for v, lp, q, x in s]
                     out.append({"ids": c if ids else None, "n_tokens": len(c), "ids_crc32": zlib.crc32(np.ascontiguousarray(c, np.int32).tobytes()), "decoded": d == t.replace(SPACE, " ").encode("utf-8", "surrogatepass") if check and t is not None else None, "samples": found})
             yield pa.array(out, kind)
+        release_memory()
 
     found = docs.withColumn("__pieces", pieces(F.col(key), F.col(text)))
     return found.withColumns({c: F.col(f"__pieces.{c}") for c in ("ids", "n_tokens", "ids_crc32", "decoded", "samples")}).drop("__pieces")
@@ -551,7 +554,7 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
 
 def decode(tokens: DataFrame, model: str, *, ids: str = "ids", out: str = "text") -> DataFrame:
     """Add ``out``: the text that the token ids in ``ids`` stand for (null for null)."""
-    bounded_batches(tokens.sparkSession, 2000)
+    bounded_batches(tokens.sparkSession, 800)
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
