@@ -186,5 +186,5 @@ def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", sharpn
                 out.append((names[best], float(share), float(gaps[best])))
             yield pa.array([dict(zip(("lang", "score", "distance"), r, strict=True)) for r in out], kind)
 
-    found = docs.withColumn("__langid", identify(F.col(text)))
+    found = docs.withColumn("__langid", identify.asNondeterministic()(F.col(text)))
     return found.withColumns({"lang_pred": F.col("__langid.lang"), "lang_score": F.col("__langid.score"), "lang_distance": F.col("__langid.distance")}).drop("__langid")

@@ -548,7 +548,7 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
             yield pa.array(out, kind)
         release_memory()
 
-    found = docs.withColumn("__pieces", pieces(F.col(key), F.col(text)))
+    found = docs.withColumn("__pieces", pieces.asNondeterministic()(F.col(key), F.col(text)))
     return found.withColumns({c: F.col(f"__pieces.{c}") for c in ("ids", "n_tokens", "ids_crc32", "decoded", "samples")}).drop("__pieces")
 
 

@@ -167,4 +167,4 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", source: s
             metas = np.array([meta_features(*x) for x in zip(s.to_pylist(), l.to_pylist(), n.to_pylist(), strict=True)])
             yield pa.array(model.scores(texts, metas))
 
-    return docs.withColumn("quality_score", rate(F.col(text), F.col(source), F.col(lang), F.col(length).cast("long")))
+    return docs.withColumn("quality_score", rate.asNondeterministic()(F.col(text), F.col(source), F.col(lang), F.col(length).cast("long")))

@@ -197,5 +197,5 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataF
             p = model.probability(np.array([f for _, f in rows]).reshape(len(rows), 2))
             yield pa.array([{"score": float(v), "segments": [{"start": a, "end": b + 1, "score": s, "evalue": e} for a, b, s, e in found]} for v, (found, _) in zip(p, rows, strict=True)], kind)
 
-    out = docs.withColumn("__judged", judge(F.col(text)))
+    out = docs.withColumn("__judged", judge.asNondeterministic()(F.col(text)))
     return out.withColumns({"toxic_score": F.col("__judged.score"), "segments": F.col("__judged.segments")}).drop("__judged")
