@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def finite(x: Column) -> Column:
     """A float that must be finite."""
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit("not a finite number"))).otherwise(x)
+    return F.when(F.isnan(x) | (F.abs(x) == math.inf), F.raise_error(F.lit("not a finite number"))).otherwise(x)
 
 
 def int_div(a: str, b: str) -> Column:

@@ -105,7 +105,7 @@ def result_or_result(r: Column, by: Fn) -> Column:
 
 
 def list_at(xs: Column, i: int) -> Column:
-    return F.get(xs, F.lit(i)) if i >= 0 else F.try_element_at(xs, F.lit(i))
+    return F.get(xs, F.lit(i)) if i >= 0 else F.get(xs, F.size(xs) + i)
 
 
 def list_slice(xs: Column, start: int = 0, end: int | None = None) -> Column:
