@@ -37,6 +37,9 @@ from pipeweave.llm.common import Workspace, bounded_batches
 MIN_REVISIT = 1000
 #: Bytes of payload in one archive file, about.
 ARCHIVE_BYTES = 8 << 20
+#: Revisits (some 100 bytes each) up to which their table goes to every executor and pages stay where
+#: they lie; beyond it both are shuffled by page.
+SMALL_REVISITS = 100_000
 #: Fixed values of the ARC format: the field line of each version.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -240,8 +243,8 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
         name = f"part-{part:06d}-{made:05d}"
         # old crawls come in either version of the format
         arc = write_arc(held, f"{name}.arc", version=1 + made % 2)
-        _store(f"{root}/{name}.arc.gz", gzip.compress(arc, 6, mtime=0), unique)
-        warc = b"".join(gzip.compress(r, 6, mtime=0) for r in convert(arc, original))
+        _store(f"{root}/{name}.arc.gz", gzip.compress(arc, 1, mtime=0), unique)
+        warc = b"".join(gzip.compress(r, 4, mtime=0) for r in convert(arc, original))
         _store(f"{root}/{name}.warc.gz", warc, unique)
         row = pa.RecordBatch.from_pydict({"path": [f"{root}/{name}.warc.gz"], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(warc)], pa.int64())})
         made, size = made + 1, 0
@@ -294,6 +297,9 @@ def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url",
     salts = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     salted = light.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
     again = salted.join(salts, ["d", "n", "salt"]).where(F.col("id") < F.col("to")).select("id", "to", "to_url").dropDuplicates(["id"])
+    again = space.save(again, "again")
+    if again.count() <= SMALL_REVISITS:
+        again = F.broadcast(again)
     rows = p.where(F.col("id").isNotNull()).join(again, "id", "left").select("id", "url", "html", "to", "to_url")
     root = space.path("archives")
     return space.save(rows.mapInArrow(lambda b: _write(b, root), "path string, records long, bytes long"), "manifest")
