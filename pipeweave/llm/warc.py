@@ -11,9 +11,10 @@ bytes or more that another record holds becomes a ``revisit`` without payload.
 Archives are files of a few MB in the shared folder, gzip by record, under names that depend on
 the task's partition only, so a repeated task writes the same file again.
 
-Defined results: a null page is an empty payload; spaces and line breaks in a url are
+Defined results: a null page is an empty payload; a null page id makes a response without an id,
+which nothing revisits; spaces and line breaks in a url are
 percent-encoded in headers; a null url becomes ``about:blank``; repeated page ids are written as
-they come; an empty table gives an empty result; extra columns are ignored. A truncated or
+they come, each by its own payload; an empty table gives an empty result; extra columns are ignored. A truncated or
 malformed ARC record raises ``ArcError`` with its offset.
 """
 
@@ -81,14 +82,15 @@ def _http_field(head: bytes, name: str) -> str | None:
     return None
 
 
-def write_arc(pages: list[tuple[int, str | None, bytes]], name: str, version: int = 1, date: str = "20240101000000") -> bytes:
+def write_arc(pages: list[tuple[int | None, str | None, bytes]], name: str, version: int = 1, date: str = "20240101000000") -> bytes:
     """An uncompressed ARC archive of HTTP responses; the page id travels in a header of the response."""
     out = io.BytesIO()
     block = f"{version} 0 pipeweave\n{FIELDS[version]}\n".encode()
     extra = " 200 - - 0 %s" % name if version == 2 else ""
     out.write(f"filedesc://{name} 0.0.0.0 {date} text/plain{extra} {len(block)}\n".encode() + block + b"\n")
     for page_id, url, html in pages:
-        content = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\nX-Page-Id: {page_id}\r\n\r\n".encode() + html
+        own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+        content = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n{own}\r\n".encode() + html
         extra = f" 200 {hashlib.md5(content).hexdigest()} - {out.tell()} {name}" if version == 2 else ""
         out.write(f"{_percent(url)} 0.0.0.0 {date} text/html{extra} {len(content)}\n".encode("utf-8", "surrogatepass") + content + b"\n")
     return out.getvalue()
@@ -200,9 +202,9 @@ def page_of(headers: dict[str, str], block: bytes) -> dict[str, object] | None:
     whole = headers["WARC-Type"] == "response"
     if whole and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"digest of {headers['WARC-Record-ID']} is not its payload's")
-    to = headers.get("WARC-Refers-To-Page")
+    own, to = _http_field(head, "X-Page-Id"), headers.get("WARC-Refers-To-Page")
     return {
-        "page_id": int(_http_field(head, "X-Page-Id")), "payload_bytes": len(payload) if whole else int(_http_field(head, "Content-Length")), "payload_digest": digest,
+        "page_id": int(own) if own else None, "payload_bytes": len(payload) if whole else int(_http_field(head, "Content-Length")), "payload_digest": digest,
         "record_type": headers["WARC-Type"], "refers_to": int(to) if to else None, "url": headers["WARC-Target-URI"], "record_id": headers["WARC-Record-ID"], "date": headers["WARC-Date"],
     }
 
@@ -228,12 +230,12 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
 
     task = TaskContext.get()
     part, unique = task.partitionId(), f"{task.taskAttemptId()}.tmp"
-    held: list[tuple[int, str | None, bytes]] = []
-    marks: dict[str, tuple[int, str | None, str | None]] = {}
+    held: list[tuple[int | None, str | None, bytes]] = []
+    marks: list[tuple[int | None, str | None, str]] = []  # what each of ``held`` revisits
     made = size = 0
 
-    def original(record: ArcRecord, payload: bytes) -> dict[str, str] | None:
-        to, url, date = marks[_http_field(_split_http(record.content)[0], "X-Page-Id")]
+    def original(turn: Iterator[tuple[int | None, str | None, str]]) -> dict[str, str] | None:
+        to, url, date = next(turn)
         if to is None:
             return None
         return {"WARC-Refers-To": record_uri(_percent(url), date, str(to)), "WARC-Refers-To-Target-URI": _percent(url), "WARC-Refers-To-Date": date, "WARC-Refers-To-Page": str(to)}
@@ -244,7 +246,8 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
         # old crawls come in either version of the format
         arc = write_arc(held, f"{name}.arc", version=1 + made % 2)
         _store(f"{root}/{name}.arc.gz", gzip.compress(arc, 1, mtime=0), unique)
-        warc = b"".join(gzip.compress(r, 4, mtime=0) for r in convert(arc, original))
+        turn = iter(marks)
+        warc = b"".join(gzip.compress(r, 4, mtime=0) for r in convert(arc, lambda *_: original(turn)))
         _store(f"{root}/{name}.warc.gz", warc, unique)
         row = pa.RecordBatch.from_pydict({"path": [f"{root}/{name}.warc.gz"], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(warc)], pa.int64())})
         made, size = made + 1, 0
@@ -256,7 +259,7 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
         for page_id, url, html, to, to_url in zip(*(c.to_pylist() for c in b.columns), strict=True):
             data = html.encode("utf-8", "surrogatepass") if html else b""
             held.append((page_id, url, data))
-            marks[str(page_id)] = (to, to_url, "2024-01-01T00:00:00Z")
+            marks.append((to, to_url, "2024-01-01T00:00:00Z"))
             size += len(data)
             if size >= ARCHIVE_BYTES:
                 yield out()
@@ -296,11 +299,11 @@ def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url",
     last = light.groupBy("d", "n").agg(F.max("id").alias("to"), F.max_by("url", "id").alias("to_url"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     salts = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     salted = light.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
-    again = salted.join(salts, ["d", "n", "salt"]).where(F.col("id") < F.col("to")).select("id", "to", "to_url").dropDuplicates(["id"])
+    again = salted.join(salts, ["d", "n", "salt"]).where(F.col("id") < F.col("to")).select("id", "d", "to", "to_url").dropDuplicates(["id", "d"])
     again = space.save(again, "again")
     if again.count() <= SMALL_REVISITS:
         again = F.broadcast(again)
-    rows = p.where(F.col("id").isNotNull()).join(again, "id", "left").select("id", "url", "html", "to", "to_url")
+    rows = p.withColumn("d", F.sha1(payload)).join(again, ["id", "d"], "left").select("id", "url", "html", "to", "to_url")
     root = space.path("archives")
     return space.save(rows.mapInArrow(lambda b: _write(b, root), "path string, records long, bytes long"), "manifest")
 

@@ -52,6 +52,16 @@ def test_pages_come_back(spark):
     assert warc.read_archives(warc.write_archives(df.where("false"))).count() == 0
 
 
+def test_pages_without_and_with_repeated_ids(spark):
+    rows = [(None, "http://a", "y" * 1500), (None, None, None), (4, "http://b", "y" * 1500), (4, "http://b", "w" * 1500), (4, "http://b", "w" * 1500), (8, "http://c", "y" * 1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = warc.read_archives(warc.write_archives(df)).collect()
+    digest = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    y, w = digest("y" * 1500), digest("w" * 1500)
+    found = sorted((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to or 0) for r in out)
+    assert found == sorted([(0, y, "response", 0), (0, digest(""), "response", 0), (4, y, "revisit", 8), (4, w, "response", 0), (4, w, "response", 0), (8, y, "response", 0)])
+
+
 def test_pipeline_stages(spark, docs):
     sf = "/root/testdata/sf0.01"
     kept = corpus_pipeline.language_id(spark, docs, sf)
