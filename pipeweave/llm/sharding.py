@@ -9,7 +9,7 @@ differ by one at most and slots have no gaps. Law: ``rows``.
 
 Everything is DataFrame expressions. Moves are decided on (group, shard) counts, at most
 ``shards`` rows a group, however large the group; ranks come from a prefix sum over buckets, so
-no task orders a whole shard.
+no task orders a whole shard; a large group has the more buckets the more members it has.
 
 Defined results: null text has size 1, crc 0 and no links; rows with equal keys are placed
 each on their own, a null key like any other; an empty table gives an empty result; only key and
@@ -49,12 +49,12 @@ def balanced_shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     n = base.count()
     quota = F.element_at(F.array(*[F.lit(n // shards + (1 if s < n % shards else 0)).cast("long") for s in range(shards)]), F.col("shard") + 1)
     groups = base.where(F.col("h").isNotNull()).groupBy("h", "size", "crc").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    groups = groups.withColumn("g", F.xxhash64("h", "size", "crc"))
+    groups = groups.withColumn("g", F.xxhash64("h", "size", "crc")).withColumn("spread", F.greatest(F.lit(SPREAD), F.ceil(F.col("members") / F.lit(PER_BUCKET))).cast("long"))
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salt = F.pmod(F.xxhash64("twin", F.lit("salt")), F.lit(SALT)).cast("int")
     start = F.pmod(F.xxhash64("id", "twin"), F.lit(shards)).cast("int")
     state = base.withColumn("salt", salt).join(salted, ["h", "size", "crc", "salt"], "left")
-    state = space.save(state.select("id", "twin", "size", "crc", "salt", "g", start.alias("shard")), "state-0")
+    state = space.save(state.select("id", "twin", "size", "crc", "salt", "g", "spread", start.alias("shard")), "state-0")
     linked = space.save(state.where("g is not null").select("twin", "salt", "g", "shard"), "linked-0")
     for r in range(1, rounds + 1):
         counts = linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("c"))
@@ -75,18 +75,20 @@ def balanced_shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         moved = moved.select("twin", "salt", "g", F.when(F.col("home").isNotNull() & lucky, F.col("home")).otherwise(F.col("shard")).alias("shard"))
         linked = space.save(moved, f"linked-{r}")
         space.drop(f"linked-{r - 1}")
-    placed = state.where("g is null").select("id", "twin", "size", "crc", "g", "shard")
-    placed = placed.unionByName(state.where("g is not null").drop("shard", "salt", "g").join(linked.select("twin", "g", "shard"), "twin").select("id", "twin", "size", "crc", "g", "shard"))
-    # linked groups first; a group's members lie in SPREAD buckets side by side
+    columns = ["id", "twin", "size", "crc", "g", "spread", "shard"]
+    placed = state.where("g is null").select(columns)
+    placed = placed.unionByName(state.where("g is not null").drop("shard", "salt", "g").join(linked.select("twin", "g", "shard"), "twin").select(columns))
+    # linked groups first; a group's members lie in ``spread`` buckets side by side, of PER_BUCKET rows at most on average
     buckets = max(1, n // shards // PER_BUCKET) * 16
-    within = F.pmod(F.xxhash64("twin"), F.lit(buckets * SPREAD))
-    order = F.when(F.col("g").isNotNull(), F.pmod(F.xxhash64("g"), F.lit(buckets)) * SPREAD + within % SPREAD).otherwise(F.lit(buckets * SPREAD) + within)
-    placed = space.save(placed.withColumn("bucket", order), "placed")
-    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).select("shard", "bucket", "before")
-    within = Window.partitionBy("shard", "bucket").orderBy("g", "twin")
-    ranked = placed.withColumn("r", F.row_number().over(within) - 1).join(before, ["shard", "bucket"])
+    lead = F.when(F.col("g").isNotNull(), F.pmod(F.xxhash64("g"), F.lit(buckets))).otherwise(F.lit(buckets))
+    part = F.pmod(F.xxhash64("twin"), F.coalesce("spread", F.lit(buckets * SPREAD)))
+    placed = space.save(placed.withColumns({"bucket": lead.cast("long"), "part": part.cast("long")}).drop("spread"), "placed")
+    place = ["shard", "bucket", "part"]
+    counts = placed.groupBy(place).agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("shard").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).select(*place, "before")
+    within = Window.partitionBy(place).orderBy("g", "twin")
+    ranked = placed.withColumn("r", F.row_number().over(within) - 1).join(before, place)
     ranked = ranked.withColumn("rank", F.col("before") + F.col("r")).drop("before", "r")
     loads = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("c").alias("n")).collect()}
     quotas = [n // shards + (1 if s < n % shards else 0) for s in range(shards)]

@@ -108,6 +108,12 @@ def test_a_group_larger_than_a_shard(spark):
     assert out.where("group_id is not null").select("shard").distinct().count() <= 16
 
 
+def test_a_large_group_has_buckets_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PER_BUCKET", 20)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    check_shards(sharding.balanced_shards(df), 2000)
+
+
 def test_shard_odd_rows(spark, odd, none):
     out = sharding.balanced_shards(odd)
     check_shards(out, 10)
