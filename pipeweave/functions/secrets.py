@@ -51,6 +51,31 @@ def verify_password(password: str, stored: str) -> bool:
     return hmac.compare_digest(again, base64.b64decode(raw))
 
 
+def _passphrase_key(passphrase: str, salt: bytes) -> bytes:
+    return hashlib.scrypt(passphrase.encode(), salt=salt, n=1 << 14, r=8, p=1, dklen=32)
+
+
+def encrypt_with_passphrase(x: Column, passphrase: str) -> Column:
+    """AES-GCM under a scrypt key; the call's fresh salt (16 bytes) stands before each text."""
+    salt = os.urandom(16)
+    return F.concat(F.lit(salt), encrypt(x.cast("binary"), F.lit(_passphrase_key(passphrase, salt))))
+
+
+def decrypt_with_passphrase(x: Column, passphrase: str) -> Column:
+    """Absent where the passphrase or the text is wrong. A key is derived once for each salt in a task."""
+
+    @F.arrow_udf("binary")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[bytes, bytes] = {}
+        for b in batches:
+            for salt in b.unique().to_pylist():
+                if salt is not None and salt not in known:
+                    known[salt] = _passphrase_key(passphrase, salt)
+            yield pa.array([None if s is None else known[s] for s in b.to_pylist()], pa.binary())
+
+    return decrypt(F.substring(x, 17, 1 << 30), keys(F.substring(x, 1, 16)))
+
+
 def armor(x: Column) -> Column:
     """Bytes as base64 lines between markers."""
     return F.concat(F.lit("-----BEGIN ENCRYPTED DATA-----\n"), F.replace(F.base64(x), F.lit("\r\n"), F.lit("\n")), F.lit("\n-----END ENCRYPTED DATA-----\n"))

@@ -29,6 +29,14 @@ def socket(spark: SparkSession, host: str, port: int) -> Rel:
     return Rel(spark.readStream.format("socket").option("host", host).option("port", port).load())
 
 
+def merge(first: Rel, *others: Rel) -> Rel:
+    """Streams of one shape as one; events come as they arrive."""
+    df = first.collection().df
+    for other in others:
+        df = df.unionByName(other.collection().df)
+    return Rel(df)
+
+
 def sink(rel: Rel, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Every micro-batch to ``write(batch, number)``; a number that comes again is a repeat."""
     writer = rel.raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
