@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -474,10 +475,11 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[list[np.nd
     Distinct units are encoded once.
     """
     cut_up = [units_of(t) for t in texts]
-    units = list(dict.fromkeys(chain.from_iterable(cut_up)))
-    number = {u: i for i, u in enumerate(units)}
-    total = sum(map(len, cut_up))
-    every = np.fromiter(map(number.__getitem__, chain.from_iterable(cut_up)), np.int64, total)
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__  # a new unit gets the next number
+    every = np.fromiter(map(number.__getitem__, chain.from_iterable(cut_up)), np.int64, sum(map(len, cut_up)))
+    number.default_factory = None
+    units = list(number)
     rows = np.split(every, np.cumsum([len(r) for r in cut_up])[:-1]) if cut_up else []
     coded = vocab.sp.encode([u.replace(SPACE, " ") for u in units], num_threads=1)
     if "" in number:
