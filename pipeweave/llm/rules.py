@@ -4,11 +4,12 @@ Each text gets counts (words, symbols, duplicate lines, words in repeated 5-word
 Two fixed limits decide ``base_failed``. The forest isolates documents by random splits of the
 statistics' ratios: the fewer splits a document needs, the more unusual it is. Being unusual is
 no fault in itself, so the score above which a document is dropped is set for each rule (the
-statistic that stands out in it) from all labelled rows: the lowest score at which the rule
-loses no more than ``lost`` of all rows labelled good.
+statistic that stands out in it) from all labelled rows: the lowest score, ``USUAL`` at least, at
+which rows labelled bad outnumber good ones and above which the rule loses no more than ``lost``
+of all rows labelled good. A rule whose bad rows nowhere outnumber its good ones drops nothing.
 
 Defined results: null, empty and wordless texts have all counts 0 and fail the base limits;
-without rows labelled good nothing is dropped by the forest; repeated rows get equal results;
+without rows labelled good nothing is dropped by the forest, nor by a rule without rows labelled bad; repeated rows get equal results;
 texts are read whole; an empty table gives an empty result; existing columns named like the
 added ones are replaced.
 """
@@ -32,6 +33,8 @@ SPACES = " \t\n\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct")
 #: Rows the forest is grown on at most (a hundred trees of 256 rows each).
 SAMPLE, TREES, LEAFY = 25_600, 100, 256
+#: The anomaly of a row whose path is as long as expected; no limit lies below it.
+USUAL = 0.5
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1 for j in range(WINDOW)], np.uint64)
 
 
@@ -190,23 +193,26 @@ def leading_rule() -> Column:
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", lost: float = 0.0005, bins: int = 2000) -> dict[str, float]:
-    """For each rule the lowest anomaly above which it drops no more than ``lost`` of all rows labelled
-    good that pass the base limits.
+    """For each rule the lowest anomaly, ``USUAL`` at least, in whose bin rows labelled bad outnumber good ones
+    and from which on it drops no more than ``lost`` of all rows labelled good that pass the base limits.
+    Rules without such a bin are left out.
 
     All labelled rows count: a histogram of (rule, bin) comes to the driver.
     """
     small = scored.where(~F.col("base_failed")).select(F.col(key).alias("__key"), "rule", F.floor(F.col("anomaly") * bins).cast("int").alias("bin"))
     marks = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).alias("y"))
-    found = small.join(marks, "__key").groupBy("rule", "bin").agg(F.count_if(F.col("y") == 1).alias("good")).collect()
+    found = small.join(marks, "__key").groupBy("rule", "bin").agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad")).collect()
     total = sum(r["good"] for r in found)
     out = {}
     for rule in sorted({r["rule"] for r in found}) if total else []:
-        good = np.zeros(bins + 2)
+        good, bad = np.zeros(bins + 2), np.zeros(bins + 2)
         for r in found:
             if r["rule"] == rule:
-                good[r["bin"]] = r["good"]
+                good[r["bin"]], bad[r["bin"]] = r["good"], r["bad"]
         dropped = np.cumsum(good[::-1])[::-1]
-        out[rule] = int(np.argmax(dropped <= lost * total)) / bins
+        fit = (bad > good) & (dropped <= lost * total) & (np.arange(bins + 2) >= USUAL * bins)
+        if fit.any():
+            out[rule] = int(np.argmax(fit)) / bins
     return out
 
 

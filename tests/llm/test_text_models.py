@@ -124,6 +124,21 @@ def test_rules_keep_good_documents(spark, docs, labels):
     assert lost <= 0.01 * good
 
 
+def test_rules_limits_lie_on_the_anomaly(spark):
+    rows = [(i, "a", 0.3 + i / 100, 0) for i in range(40)] + [(100 + i, "b", 0.3 + i / 100, 1) for i in range(40)] + [(200, "b", 0.9, 0)]
+    scored = spark.createDataFrame([r[:3] for r in rows], "doc_id long, rule string, anomaly double").withColumn("base_failed", F.lit(False))
+    marks = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    assert rules.thresholds(scored, marks) == {"a": 0.5, "b": 0.9}
+
+
+def test_clean_document_with_one_symbol_stays(spark, docs, labels):
+    out = registry.op8_rules(spark, SF)
+    one = out.join(labels, "doc_id").where("quality = 1 and kept and n_symbols = 0 and rule = 'none' and n_words > 200").orderBy("doc_id").first()[0]
+    clean = docs.where(F.col("doc_id") == one).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.concat("text", F.lit(" #"))})
+    got = rules.judged(docs.unionByName(clean), labels).where("doc_id = -1").first()
+    assert got.rule == "symbols" and got.n_symbols == 1 and got.kept
+
+
 def test_odd_rows(spark, odd, none, no_labels, docs, labels):
     model = langid.fit(docs.where(key_crc("doc_id") % 5 != 0))
     found = {r.doc_id: r for r in langid.predict(odd, model).collect()}
