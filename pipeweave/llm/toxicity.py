@@ -2,9 +2,10 @@
 
 Words get scores from labelled texts: the log-odds of a word in toxic against other texts under
 an informative Dirichlet prior, shrunk by its standard error, so a word must be clearly tied to
-the label to score above zero; every other word costs ``drift``. A word counts once in a text, in
-training and in scoring, so that one text that repeats it is no evidence. One linear scan finds all
-maximal scoring segments of a text (segments that no extension or split improves). A segment's
+the label to score above zero; every other word costs ``drift``. In training a word counts once in a
+text, so that one text that repeats it is no evidence. In scoring every occurrence counts; inside one
+passage (a run over which the sum of scores stays above zero) each repeat is worth half the one before.
+One linear scan finds all maximal scoring segments of a text (segments that no extension or split improves). A segment's
 score becomes an E-value by extreme-value theory, ``K m exp(-lambda S)`` over m words, with
 ``lambda`` the root of ``sum p(w) exp(lambda s(w)) = 1`` over the words of texts without the
 label. The significance of all segments together, and of the best one, is calibrated to a
@@ -80,11 +81,19 @@ class ToxicityModel:
         """Significant segments: first word, last word, score and E-value (over the segment's own surroundings)."""
         found = words(text)
         look = self.scores.get
-        hits, seen = [], set()
+        hits: list[tuple[int, float]] = []
+        worth: dict[str, float] = {}  # of the next occurrence in this passage
+        total, after = 0.0, 0
         for i, w in enumerate(found):
-            if (s := look(w)) and w not in seen:  # repeats of a word say nothing new
-                seen.add(w)
+            if s := look(w):
+                total -= self.drift * (i - after)
+                if total <= 0:  # no maximal segment reaches over this place
+                    total = 0.0
+                    worth.clear()
+                s = worth.get(w, s)
+                worth[w] = s / 2
                 hits.append((i, s))
+                total, after = total + s, i + 1
         if not hits:
             return []
         out = []

@@ -70,6 +70,16 @@ def test_segment_rate_solves_its_equation():
     assert abs(p @ np.exp(rate * s) + (1 - p.sum()) * math.exp(-rate) - 1) < 1e-6
 
 
+def test_each_passage_of_the_same_words_is_found():
+    toxic = ["vile", "foul", "rank", "base", "mean", "grim"]
+    model = toxicity.ToxicityModel(dict.fromkeys(toxic, 3.0))
+    text = " ".join([*toxic, *["calm"] * 3000, *toxic, *["calm"] * 50])
+    assert [(a, b, s) for a, b, s, _ in model.segments(text)] == [(0, 5, 18.0), (3006, 3011, 18.0)]
+    early = " ".join([*(x for w in toxic for x in (w, *["calm"] * 50)), *toxic])
+    assert (306, 311, 18.0) in [(a, b, s) for a, b, s, _ in model.segments(early)]
+    assert model.segments("vile " * 500)[0][2] < 6.0001
+
+
 def test_toxicity_held_out(spark, labels):
     out = registry.op4_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
     n, good, caught, false = out.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0), F.count_if(F.expr("toxic = 1 and predicted = 1")), F.count_if(F.expr("toxic = 0 and predicted = 1"))).first()
