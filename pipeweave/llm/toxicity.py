@@ -6,9 +6,9 @@ the label to score above zero; every other word costs ``drift``. In training a w
 text, so that one text that repeats it is no evidence. In scoring every occurrence counts; inside one
 passage (a run over which the sum of scores stays above zero) each repeat is worth half the one before.
 One linear scan finds all maximal scoring segments of a text (segments that no extension or split improves). A segment's
-score becomes an E-value by extreme-value theory, ``K m exp(-lambda S)`` over m words, with
-``lambda`` the root of ``sum p(w) exp(lambda s(w)) = 1`` over the words of texts without the
-label. The significance of all segments together, and of the best one, is calibrated to a
+score becomes an E-value by extreme-value theory, ``K m exp(-lambda S)`` over the m words of its text,
+with ``lambda`` the root of ``sum p(w) exp(lambda s(w)) = 1`` over the words of texts without the
+label, and K from the scores of the maximal segments in all training texts without the label. The significance of all segments together, and of the best one, is calibrated to a
 probability on the labelled rows.
 
 Defined results: null, empty and wordless texts have no segment and get the probability of such
@@ -35,6 +35,10 @@ from pipeweave.llm.common import Workspace, bounded_batches, bounded_sample, fit
 WORD = re.compile(r"[^\W_]+")
 #: Labelled rows that the model is fitted on at most, and words that it keeps at most.
 SAMPLE, WORDS = 20_000, 50_000
+#: Width of a bin of segment scores.
+BIN = 0.01
+#: Segments that a score needs to say something about K.
+FEW = 30
 SEGMENT = "struct<start:int,end:int,score:double,evalue:double>"
 
 
@@ -77,9 +81,8 @@ class ToxicityModel:
     cutoff: float = 0.5
     weights: tuple[float, ...] = ()
 
-    def segments(self, text: str | None) -> list[tuple[int, int, float, float]]:
-        """Significant segments: first word, last word, score and E-value (over the segment's own surroundings)."""
-        found = words(text)
+    def candidates(self, found: list[str]) -> list[tuple[int, int, float]]:
+        """The maximal segments of a text's words: first word, last word, score."""
         look = self.scores.get
         hits: list[tuple[int, float]] = []
         worth: dict[str, float] = {}  # of the next occurrence in this passage
@@ -94,11 +97,14 @@ class ToxicityModel:
                 worth[w] = s / 2
                 hits.append((i, s))
                 total, after = total + s, i + 1
-        if not hits:
-            return []
+        return maximal_segments([i for i, _ in hits], [s for _, s in hits], self.drift)
+
+    def segments(self, text: str | None) -> list[tuple[int, int, float, float]]:
+        """Significant segments: first word, last word, score and E-value over all words of the text."""
+        found = words(text)
         out = []
-        for a, b, s in maximal_segments([i for i, _ in hits], [s for _, s in hits], self.drift):
-            e = self.constant * 100 * math.exp(-min(700.0, self.rate * s))
+        for a, b, s in self.candidates(found):
+            e = self.constant * len(found) * math.exp(-min(700.0, self.rate * s))
             if e <= self.cutoff:
                 out.append((a, b, s, e))
         return out
@@ -153,12 +159,24 @@ def segment_rate(scores: np.ndarray, frequency: np.ndarray, drift: float, rest:
     return min(top, 8.0)
 
 
+def segment_constant(bins: dict[int, int], n_words: int, rate: float) -> float:
+    """The least K with which ``K m exp(-rate S)`` gives no fewer segments than were seen, at every score that
+    ``FEW`` or more reach: words that keep company give high scores more often than the law of single words.
+    ``bins`` has the segments by score in units of ``BIN``; with fewer, K is that of one segment at score 0."""
+    seen, most = 0, 1.0
+    for at in sorted(bins, reverse=True):
+        seen += bins[at]
+        if seen >= FEW:
+            most = max(most, seen * math.exp(min(600.0, rate * at * BIN)))
+    return most / max(n_words, 1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, prior: float = 0.05, certainty: float = 2.5, drift: float = 1.0) -> ToxicityModel:
     """Fit on at most ``sample`` labelled rows, those with the smallest key hash.
 
     Only the sampled keys (a bounded table) are broadcast to the texts; words are counted in
     each task and summed by word. The driver gets the words clearly tied to a label, ``WORDS``
-    at most, and two numbers for each sampled row. The prior weighs ``prior`` of all counts.
+    at most, two numbers for each sampled row, and segment counts by score. The prior weighs ``prior`` of all counts.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -183,6 +201,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     rate = segment_rate(np.array(list(scores.values())), frequency, drift, 1 - frequency.sum()) if scores else 1.0
     model = ToxicityModel(scores, drift, rate)
 
+    def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments by score, and words (bin -1), of this task's texts without the label."""
+        n: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                found = words(t)
+                n[-1] += len(found)
+                n.update(int(s / BIN) for _, _, s in model.candidates(found))
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(list(n.keys()), pa.int64()), "n": pa.array(list(n.values()), pa.int64())})
+
+    counted = train.where(F.col("__y") == 0).select("__text").mapInArrow(chance, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    bins = {r["bin"]: r["n"] for r in counted.collect()}
+    constant = segment_constant(bins, bins.pop(-1, 0), rate)
+    model = ToxicityModel(scores, drift, rate, constant)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [model.features(t)[1] for t in b.column(1).to_pylist()]
@@ -190,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     seen = train.mapInArrow(measure, "y int, best double, all double").collect()
     x, y = np.array([[r["best"], r["all"]] for r in seen]), np.array([float(bool(r["y"])) for r in seen])
-    return ToxicityModel(scores, drift, rate, weights=tuple(fit_logistic(x, y, l2=0.01).tolist()))
+    return ToxicityModel(scores, drift, rate, constant, weights=tuple(fit_logistic(x, y, l2=0.01).tolist()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataFrame:

@@ -80,6 +80,20 @@ def test_each_passage_of_the_same_words_is_found():
     assert model.segments("vile " * 500)[0][2] < 6.0001
 
 
+def test_evalues_grow_with_the_text():
+    model = toxicity.ToxicityModel({"vile": 8.0})
+    e = [model.segments("vile " + "calm " * n)[0][3] for n in (19, 199)]
+    assert math.isclose(e[1], 10 * e[0])
+
+
+def test_segment_constant_from_chance_segments():
+    rng, rate, k, n = np.random.default_rng(4), 1.5, 0.02, 1_000_000
+    scores = rng.exponential(1 / rate, int(k * n))
+    bins = dict(zip(*[x.tolist() for x in np.unique((scores / toxicity.BIN).astype(int), return_counts=True)], strict=True))
+    assert 0.9 < toxicity.segment_constant(bins, n, rate) / k < 1.6
+    assert toxicity.segment_constant({}, 500, rate) == 1 / 500
+
+
 def test_toxicity_held_out(spark, labels):
     out = registry.op4_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
     n, good, caught, false = out.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0), F.count_if(F.expr("toxic = 1 and predicted = 1")), F.count_if(F.expr("toxic = 0 and predicted = 1"))).first()
