@@ -1,6 +1,7 @@
 """Archives: both ARC versions, conversion, exact round trip. The pipeline: each stage's contract."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,17 @@ def test_pipeline_rejects_texts_without_letters(spark, docs, odd):
     assert all(r.lang not in (None, langid.UND) for r in out.values())
 
 
+def test_pipeline_rejects_gibberish_and_unlearned_languages(spark, docs):
+    rng = random.Random(6)
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(120))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    strange = [(-1, letters), (-2, polish)]
+    short = [(-3, "the cat and the dog"), (-4, "and then the other one")]
+    rows = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in strange + short], docs.schema)
+    out = {r.doc_id: r for r in corpus_pipeline.language_id(spark, docs.unionByName(rows), "").collect()}
+    assert not {-1, -2} & set(out) and {-3, -4} <= set(out) and len(out) == docs.count() + 2
+
+
 def test_pipeline_of_nothing(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
