@@ -59,8 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and two sampled segmentations beside them."""
-    coded = pieces.encode(docs, PIECES, samples=2, sample_ids=False, rows=300)
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "decoded", F.transform("samples", lambda s: s.dropFields("ids")).alias("samples"))
+    coded = pieces.encode(docs, PIECES, samples=2, rows=300)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "decoded", "samples")
 
 
 STAGES = [("language_id", language_id), ("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("sentencepiece", encode)]

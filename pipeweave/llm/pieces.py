@@ -518,12 +518,12 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-_SAMPLE = pa.struct([("value", pa.float64()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_SAMPLE = pa.struct([("value", pa.float64()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("decoded", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
 
 def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 2.0, seed: int = 7, check: bool = True, sample_ids: bool = True, ids: bool = True, rows: int = 800) -> DataFrame:
     """Add ``ids`` (the library's encoding), ``n_tokens``, ``ids_crc32``, ``decoded`` (it decodes to the text, null
-    if not checked) and ``samples``: distinct segmentations, best perturbed value first.
+    if not checked) and ``samples``: distinct segmentations, best perturbed value first, each with its own ``decoded``.
 
     ``ids`` and ``sample_ids`` say whether to return the token arrays beside their lengths and crc32 (over
     32-bit little-endian ids). ``rows`` texts are worked on together: more share more units, and take more
@@ -531,7 +531,7 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
     """
     bounded_batches(docs.sparkSession, rows)
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("decoded", pa.bool_()), ("samples", pa.list_(_SAMPLE))])
-    sql = "struct<ids:array<int>,n_tokens:int,ids_crc32:bigint,decoded:boolean,samples:array<struct<value:double,log_prob:double,inclusion:double,n_tokens:int,ids_crc32:bigint,ids:array<int>>>>"
+    sql = "struct<ids:array<int>,n_tokens:int,ids_crc32:bigint,decoded:boolean,samples:array<struct<value:double,log_prob:double,inclusion:double,n_tokens:int,ids_crc32:bigint,decoded:boolean,ids:array<int>>>>"
 
     @F.arrow_udf(sql)
     def pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -544,9 +544,11 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
                 coded, units, rows = encode_texts(vocab, texts)
                 back = decoded_bytes(vocab, coded) if check else [b""] * len(texts)
                 drawn = sample_texts(vocab, texts, keys, samples, seed, vocab.lattices(units), rows) if samples and units else [[] for _ in texts]
+                drawn_back = iter(decoded_bytes(vocab, [x[3] for s in drawn for x in s]) if check else ())
                 for t, c, d, s in zip(texts, coded, back, drawn, strict=True):
-                    found = [{"value": v, "log_prob": lp, "inclusion": q, "n_tokens": len(x), "ids_crc32": zlib.crc32(np.ascontiguousarray(x, np.int32).tobytes()), "ids": x if sample_ids else None} for v, lp, q, x in s]
-                    out.append({"ids": c if ids else None, "n_tokens": len(c), "ids_crc32": zlib.crc32(np.ascontiguousarray(c, np.int32).tobytes()), "decoded": d == t.replace(SPACE, " ").encode("utf-8", "surrogatepass") if check and t is not None else None, "samples": found})
+                    raw = t.replace(SPACE, " ").encode("utf-8", "surrogatepass") if check and t is not None else None
+                    found = [{"value": v, "log_prob": lp, "inclusion": q, "n_tokens": len(x), "ids_crc32": zlib.crc32(np.ascontiguousarray(x, np.int32).tobytes()), "decoded": next(drawn_back) == raw if check else None, "ids": x if sample_ids else None} for v, lp, q, x in s]
+                    out.append({"ids": c if ids else None, "n_tokens": len(c), "ids_crc32": zlib.crc32(np.ascontiguousarray(c, np.int32).tobytes()), "decoded": None if raw is None else d == raw, "samples": found})
             yield pa.array(out, kind)
         release_memory()
 

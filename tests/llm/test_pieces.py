@@ -10,7 +10,8 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from pipeweave.llm import pieces
+import corpus_pipeline
+from pipeweave.llm import pieces, registry
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -35,6 +36,17 @@ def test_same_tokens_as_the_library_and_round_trip(spark, docs, sp):
             assert sp.decode(s.ids) == r.text and 0 <= s.inclusion <= 1
 
 
+def test_query_and_stage_return_all_ids(spark, docs, sp):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    few = docs.limit(40)
+    for out in (registry.op3_sentencepiece(spark, "/root/testdata/sf0.01").limit(40), corpus_pipeline.encode(spark, few, "")):
+        rows = out.collect()
+        assert len(rows) == 40
+        for r in rows:
+            assert r.ids == sp.encode(texts[r.doc_id]) and r.decoded
+            assert r.samples and all(s.decoded and len(s.ids) == s.n_tokens and sp.decode(s.ids) == texts[r.doc_id] for s in r.samples)
+
+
 def test_decode_operator(spark, docs):
     coded = pieces.encode(docs.limit(50), MODEL, samples=0).withColumnRenamed("text", "was")
     assert pieces.decode(coded, MODEL).where(~F.col("was").eqNullSafe(F.col("text"))).count() == 0
