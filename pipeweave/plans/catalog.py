@@ -157,6 +157,11 @@ def q_emit(t):
     return Rel.of(t.orders.where("o_custkey = 7"), "o_orderkey").collect(3, F.col("o_orderkey")).emit("items").map(o_orderkey=F.col("items")).df
 
 
+@query("SELECT o_orderkey FROM orders")
+def q_emit_all(t):
+    return Rel.of(t.orders, "o_orderkey").collect(3, F.col("o_orderkey")).emit("items").map(o_orderkey=F.col("items")).df
+
+
 # ---- joins and sets
 
 BIG = "o_totalprice > 300000"
@@ -182,6 +187,16 @@ def q_join_inner(t):
     return joins.join(_cust(t), _big(t), **KEYS, into=_into()).df
 
 
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
+def q_join_inner_all(t):
+    return joins.join(_cust(t), Rel.of(t.orders, "o_orderkey").map("o_orderkey", "o_custkey"), **KEYS, into=_into()).df
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def q_join_left_all(t):
+    return joins.left_join(_cust(t), Rel.of(t.orders, "o_orderkey").map("o_orderkey", "o_custkey"), **KEYS, into=_into()).df
+
+
 @query(f"SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE {BIG}) ON c_custkey = o_custkey")
 def q_join_left(t):
     return joins.left_join(_cust(t), _big(t), **KEYS, into=_into()).df
