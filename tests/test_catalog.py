@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import FIXTURE
+from testdata_paths import FIXTURE
 
 from pipeweave.plans import catalog
 

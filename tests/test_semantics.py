@@ -5,6 +5,7 @@ import sqlite3
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from testdata_paths import SMALL
 
 from pipeweave.functions import numbers, secrets, text, times, udf, values
 from pipeweave.operators import aggregates as A
@@ -245,8 +246,6 @@ def test_rendering(spark):
 
 
 def test_plans_prune_and_push(spark):
-    from conftest import SMALL
-
     rows = Rel(spark.read.parquet(f"{SMALL}/lineitem.parquet")).filter(F.col("l_quantity") > 10).map("l_orderkey")
     assert "GreaterThan(l_quantity,10" in explain.pushed_filters(rows.df)[0]
     assert sorted(c.split(":")[0] for c in explain.read_columns(rows.df)[0].split(",")) == ["l_orderkey", "l_quantity"]
