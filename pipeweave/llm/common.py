@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark import cloudpickle
@@ -16,18 +17,22 @@ import pipeweave
 # Functions sent to executors carry their own code, so an executor needs no copy of the package.
 cloudpickle.register_pickle_by_value(pipeweave)
 
-#: Rows in one Arrow batch. Texts can be 100 kB and more, so a batch stays in the tens of MB.
-ARROW_ROWS = 1000
+#: Rows of an Arrow batch worked on together. Spark bounds a batch by bytes; texts of one slice and what is made of them lie in memory at once.
+SLICE = 1000
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows (and, where Spark has the setting, the bytes) of each Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(batch, rows: int = SLICE) -> Iterator:
+    """A batch (or array, or tuple of arrays) in runs of ``rows``, without copying. An empty one gives itself."""
+    if isinstance(batch, tuple):
+        for part in zip(*(slices(column, rows) for column in batch), strict=True):
+            yield part
+        return
+    for a in range(0, max(1, len(batch)), rows):
+        yield batch.slice(a, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one in local tests."""
+    """The folder all executors share, with its file system named: ``spark.checkpoint.dir``, or a temporary one in local tests."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not found:
@@ -36,31 +41,53 @@ def shared_folder(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="pipeweave-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
-    return found.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 class Workspace:
     """Intermediate tables of one operator call, written as Parquet into the shared folder.
 
-    A written table cuts lineage and survives lost executors. ``drop`` removes one that no
-    later step reads.
+    A written table cuts lineage and survives lost executors. ``keep`` removes what a lazy result
+    does not read; the rest goes when the session's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/pipeweave-{name}-{uuid.uuid4().hex[:12]}"
+        self.tags: set[str] = set()
+        disk, path = self._place(self.root)
+        disk.deleteOnExit(path)
+
+    def _place(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(tag))
+        self.tags.add(tag)
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
-    def drop(self, tag: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(tag))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tags: str) -> None:
+        for tag in tags:
+            disk, path = self._place(self.path(tag))
+            disk.delete(path, True)
+            self.tags.discard(tag)
+
+    def keep(self, *tags: str) -> None:
+        """Remove every table but these."""
+        self.drop(*sorted(self.tags - set(tags)))
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def key_crc(key: str) -> Column:
@@ -73,6 +100,28 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)).limit(limit)
 
 
+def chosen_labels(labels: DataFrame, key: str, label: str, limit: int) -> DataFrame:
+    """``k`` (the key as text) and ``y`` (0 or 1) of at most ``limit`` keys, those with the smallest hash.
+
+    A key whose labels contradict each other has none.
+    """
+    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(label).cast("int").alias("m"))
+    agreed = marks.groupBy("k").agg(F.min("m").alias("y"), F.max("m").alias("other")).where("y = other")
+    return bounded_sample(agreed.select("k", "y"), "k", limit)
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, label: str, columns: dict[str, Column], limit: int) -> DataFrame:
+    """``y`` and ``columns`` of the rows of ``docs`` that ``chosen_labels`` names.
+
+    Of rows that share a key one is taken (the least by the hash of its columns), so what comes out
+    stays bounded whatever repeats. Only the chosen keys are broadcast.
+    """
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("row"))
+    found = rows.join(F.broadcast(chosen_labels(labels, key, label, limit)), "k")
+    one = found.groupBy("k").agg(F.min_by("row", F.xxhash64("row")).alias("row"), F.first("y").alias("y"))
+    return one.select("y", *[F.col(f"row.{n}").alias(n) for n in columns])
+
+
 def release_memory() -> None:
     """Give freed memory back to the system when a task ends: Python workers are kept for later tasks."""
     import ctypes

@@ -17,13 +17,14 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import bounded_batches, release_memory
+from pipeweave.llm.common import fresh, release_memory, slices
 
 ORDERS = 3
 PROFILE = 400
@@ -130,7 +131,7 @@ def _counts(batches: Iterator[pa.RecordBatch], orders: int, flush: int) -> Itera
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(values), pa.string()), "code": values, "n": counts})
         held.clear()
 
-    for batch in batches:
+    for batch in chain.from_iterable(map(slices, batches)):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             codes = ngram_codes(text, orders)
             parts, n = pending.get(lang, ([], 0))
@@ -152,8 +153,6 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", size: int =
     Counting is partial in each task and summed by (language, n-gram), so a hot language spreads
     over all reducers. What reaches the driver is at most ``size`` rows a language.
     """
-    spark = train.sparkSession
-    bounded_batches(spark)
     rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = rows.mapInArrow(lambda b: _counts(b, orders, flush), "lang string, code long, n long")
     totals = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -168,13 +167,12 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", size: int =
 def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", sharpness: float = 24.0) -> DataFrame:
     """Add ``lang_pred``, ``lang_score`` (0 to 1: the winner's share of exp(-sharpness x distance)) and
     ``lang_distance`` (0: profiles agree, 1: nothing in common) to every row."""
-    bounded_batches(docs.sparkSession)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("distance", pa.float64())])
 
     @F.arrow_udf("struct<lang:string,score:double,distance:double>")
     def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, vocabulary, ranks = model.arrays()
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             out = []
             for value in batch.to_pylist():
                 gaps = out_of_place(value, vocabulary, ranks, model) if names else None
@@ -186,5 +184,6 @@ def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", sharpn
                 out.append((names[best], float(share), float(gaps[best])))
             yield pa.array([dict(zip(("lang", "score", "distance"), r, strict=True)) for r in out], kind)
 
-    found = docs.withColumn("__langid", identify.asNondeterministic()(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("__langid.lang"), "lang_score": F.col("__langid.score"), "lang_distance": F.col("__langid.distance")}).drop("__langid")
+    name = fresh(docs, "langid")
+    found = docs.withColumn(name, identify.asNondeterministic()(F.col(text)))
+    return found.withColumns({"lang_pred": F.col(f"{name}.lang"), "lang_score": F.col(f"{name}.score"), "lang_distance": F.col(f"{name}.distance")}).drop(name)

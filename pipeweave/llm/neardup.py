@@ -22,6 +22,7 @@ read, so extra columns cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import Workspace, bounded_batches, mix64, release_memory
+from pipeweave.llm.common import Workspace, mix64, release_memory, slices
 
 WIDTH, SAMPLES, BANDS, BITS = 5, 128, 32, 256
 #: XOR bits above which a pair cannot be similar enough: 5.4 standard deviations above the mean at 0.75.
@@ -101,7 +102,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = sample_factors()
-    for batch in batches:
+    for batch in chain.from_iterable(slices(b, 256) for b in batches):
         n, h1, h2, bands, sketches = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
@@ -124,7 +125,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chain.from_iterable(slices(b, 256) for b in batches):
         yield pa.RecordBatch.from_pydict({"id": batch.column(0), "shingles": pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())})
     release_memory()
 
@@ -140,7 +141,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chain.from_iterable(slices(b, 256) for b in batches):
         x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
         mask = pa.array(keep, pa.bool_())
@@ -225,7 +226,6 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """``key``, ``n_shingles``, ``component_id`` (smallest id of the document's group) and ``kept``
     (the document is that one), a row for each row of ``docs``."""
     spark = docs.sparkSession
-    bounded_batches(spark, 256)
     space = Workspace(spark, "neardup")
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     features = space.save(source.mapInArrow(_features, _FEATURES), "features")

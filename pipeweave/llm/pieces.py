@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import bounded_batches, mix64, release_memory
+from pipeweave.llm.common import fresh, mix64, release_memory, slices
 
 SPACE = "▁"
 UNIT = re.compile("▁*[^▁]+|▁+")
@@ -529,21 +529,20 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
     32-bit little-endian ids). ``rows`` texts are worked on together: more share more units, and take more
     memory (some 60 MB for each MB of text). ``model`` is the path of a SentencePiece file on every executor.
     """
-    bounded_batches(docs.sparkSession, rows)
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("decoded", pa.bool_()), ("samples", pa.list_(_SAMPLE))])
     sql = "struct<ids:array<int>,n_tokens:int,ids_crc32:bigint,decoded:boolean,samples:array<struct<value:double,log_prob:double,inclusion:double,n_tokens:int,ids_crc32:bigint,decoded:boolean,ids:array<int>>>>"
 
     @F.arrow_udf(sql)
     def pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         vocab = vocabulary(model, alpha)
-        for key_column, text_column in batches:
+        for key_column, text_column in chain.from_iterable(slices(b, rows) for b in batches):
             all_keys, all_texts = key_column.to_pylist(), text_column.to_pylist()
             out = []
             for a, b in _chunks(all_texts):
                 texts, keys = all_texts[a:b], all_keys[a:b]
-                coded, units, rows = encode_texts(vocab, texts)
+                coded, units, spelt = encode_texts(vocab, texts)
                 back = decoded_bytes(vocab, coded) if check else [b""] * len(texts)
-                drawn = sample_texts(vocab, texts, keys, samples, seed, vocab.lattices(units), rows) if samples and units else [[] for _ in texts]
+                drawn = sample_texts(vocab, texts, keys, samples, seed, vocab.lattices(units), spelt) if samples and units else [[] for _ in texts]
                 drawn_back = iter(decoded_bytes(vocab, [x[3] for s in drawn for x in s]) if check else ())
                 for t, c, d, s in zip(texts, coded, back, drawn, strict=True):
                     raw = t.replace(SPACE, " ").encode("utf-8", "surrogatepass") if check and t is not None else None
@@ -552,18 +551,18 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
             yield pa.array(out, kind)
         release_memory()
 
-    found = docs.withColumn("__pieces", pieces.asNondeterministic()(F.col(key), F.col(text)))
-    return found.withColumns({c: F.col(f"__pieces.{c}") for c in ("ids", "n_tokens", "ids_crc32", "decoded", "samples")}).drop("__pieces")
+    name = fresh(docs, "pieces")
+    found = docs.withColumn(name, pieces.asNondeterministic()(F.col(key), F.col(text)))
+    return found.withColumns({c: F.col(f"{name}.{c}") for c in ("ids", "n_tokens", "ids_crc32", "decoded", "samples")}).drop(name)
 
 
 def decode(tokens: DataFrame, model: str, *, ids: str = "ids", out: str = "text") -> DataFrame:
     """Add ``out``: the text that the token ids in ``ids`` stand for (null for null)."""
-    bounded_batches(tokens.sparkSession, 800)
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(model, 2.0)
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 800) for b in batches):
             rows = batch.to_pylist()
             done = iter(vocab.sp.decode([r for r in rows if r is not None]))
             yield pa.array([None if r is None else next(done) for r in rows], pa.string())

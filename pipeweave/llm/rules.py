@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import Workspace, bounded_batches, bounded_sample, mix64
+from pipeweave.llm.common import Workspace, bounded_sample, fresh, mix64, slices
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -140,17 +141,17 @@ def grow(x: np.ndarray, trees: int = TREES, size: int = LEAFY, seed: int = 29) -
 
 def with_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """Add the counts and ``base_failed``."""
-    bounded_batches(docs.sparkSession)
     kind = pa.struct([(c, pa.int64()) for c in COUNTS])
 
     @F.arrow_udf(f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>")
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             table = np.array([rule_counts(t) for t in batch.to_pylist()], np.int64).reshape(len(batch), len(COUNTS))
             yield pa.StructArray.from_arrays([pa.array(column) for column in table.T], fields=list(kind))
 
-    out = docs.withColumn("__counts", measure(F.col(text)))
-    out = out.withColumns({c: F.col(f"__counts.{c}") for c in COUNTS}).drop("__counts")
+    name = fresh(docs, "counts")
+    out = docs.withColumn(name, measure(F.col(text)))
+    out = out.withColumns({c: F.col(f"{name}.{c}") for c in COUNTS}).drop(name)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -170,7 +171,7 @@ def with_anomaly(counted: DataFrame, forest: Forest | None) -> DataFrame:
 
     @F.arrow_udf("double")
     def isolate(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for columns in batches:
+        for columns in chain.from_iterable(map(slices, batches)):
             yield pa.array(forest.score(ratios(np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]))))
 
     return counted.withColumn("anomaly", isolate(*COUNTS))

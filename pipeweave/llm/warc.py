@@ -28,12 +28,13 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import Workspace, bounded_batches
+from pipeweave.llm.common import Workspace, slices
 
 MIN_REVISIT = 1000
 #: Bytes of payload in one archive file, about.
@@ -212,6 +213,7 @@ def page_of(headers: dict[str, str], block: bytes) -> dict[str, object] | None:
 def _open(path: str):
     from pyarrow import fs
 
+    path = re.sub("^file:/+", "/", path)
     return fs.FileSystem.from_uri(path) if re.match(r"[a-zA-Z][\w+.-]*:", path) else (fs.LocalFileSystem(), path)
 
 
@@ -255,7 +257,7 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
         marks.clear()
         return row
 
-    for b in batches:
+    for b in chain.from_iterable(slices(b, 256) for b in batches):
         for page_id, url, html, to, to_url in zip(*(c.to_pylist() for c in b.columns), strict=True):
             data = html.encode("utf-8", "surrogatepass") if html else b""
             held.append((page_id, url, data))
@@ -290,7 +292,6 @@ def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url",
     the response. Only digests are shuffled to find it; the join back is on (digest, salt).
     """
     spark = pages.sparkSession
-    bounded_batches(spark, 256)
     space = space or Workspace(spark, "warc")
     p = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")

@@ -1,10 +1,12 @@
 """Near duplicates, sharding, mixing and top-k against brute force."""
 
 import collections
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pipeweave.llm import mixing, neardup, sharding, topk
@@ -166,15 +168,16 @@ def test_mixing_odd_rows(spark, odd, none):
 
 
 def brute_top(rows, k, every):
-    v = {i: np.floor(np.array(x, np.float64) * 256).astype(np.int64) for i, x in rows}
+    v = {i: [math.floor(y * 256) for y in x] for i, x in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
     out = {}
     for q in (i for i in v if i % every == 0):
-        ranked = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:k]
+        ranked = sorted(((-dot(v[q], v[c]), c) for c in v if c != q))[:k]
         out |= {(q, r + 1): (c, -s) for r, (s, c) in enumerate(ranked)}
     return out
 
 
-@pytest.mark.parametrize("kind", ["normal", "ties", "lengths"])
+@pytest.mark.parametrize("kind", ["normal", "ties", "lengths", "1e5", "1e7", "1e9", "mixed", "negative ids"])
 def test_top_k_equals_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "CANDIDATES", 64)
     monkeypatch.setattr(topk, "QUERIES", 7)
@@ -186,7 +189,13 @@ def test_top_k_equals_brute_force(spark, monkeypatch, kind):
         x[200:300] = x[0]
     if kind == "lengths":
         x *= rng.lognormal(0, 2, size=(400, 1))
-    rows = [(i, [float(np.float32(y)) for y in r]) for i, r in enumerate(x)]
+    if kind.startswith("1e"):  # products stay within 64 bits
+        ask = np.arange(400) % 20 == 0
+        x[~ask] *= float(kind)
+        x[ask] *= min(float(kind), 1e11 / float(kind))
+    if kind == "mixed":
+        x *= 10.0 ** rng.integers(-2, 6, size=(400, 1))
+    rows = [(i - (190 if kind == "negative ids" else 0), [float(np.float32(y)) for y in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df.where("vec_id % 20 = 0"), df, 5).collect()}
     assert got == brute_top(rows, 5, 20)
@@ -195,14 +204,33 @@ def test_top_k_equals_brute_force(spark, monkeypatch, kind):
 def test_pruning_saves_products():
     rng = np.random.default_rng(3)
     c = (rng.normal(size=(2000, 16)) * np.r_[np.full(3, 60.0), np.full(13, 2.0)]).astype(np.int64)
-    axes = np.linalg.eigh((c.T @ c).astype(float))[1][:, ::-1]
-    _, _, exact = topk.search_block(np.arange(20), c[:20], np.arange(2000), c, 5, axes, 3, np.full(20, -np.inf))
-    assert exact < 0.5 * 20 * 2000
+    turn = topk.Rotation(np.linalg.eigh((c.T @ c).astype(float))[1][:, ::-1][:, :3])
+    found = topk.search_block(topk.Block.of(np.arange(20), c[:20], turn), topk.Block.of(np.arange(2000), c, turn), 5, np.full(20, -np.inf))
+    assert found.exact < 0.5 * 20 * 2000
 
 
 def test_top_k_odd_rows(spark):
-    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, [2.0]), (6, []), (7, [1.0, 2.0]), (0, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
-    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id = 0").limit(1), df, 5).orderBy("rank").collect()]
-    assert got == [(1, 7, 327680), (2, 5, 131072), (3, 6, 0)]
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, [2.0]), (6, []), (7, [1.0, 2.0]), (0, [1.0, 2.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"rank": F.lit(1), "score": F.lit(2), "id": F.lit(3), "v": F.lit(4)})
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id = 0"), df, 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 7, 327680), (0, 2, 5, 131072), (0, 3, 6, 0)]
     assert topk.top_k(df.where("false"), df.where("false"), 5).count() == 0
+    assert topk.top_k(df.where("vec_id = 7"), df.where("vec_id is null"), 5).count() == 0
+
+
+def test_top_k_repeated_rows(spark):
+    """A repeated query id asks once, by its least vector; each repeated candidate row counts."""
+    rows = [(1, [2.0]), (1, [2.0]), (1, [3.0]), (2, [5.0]), (2, [5.0]), (3, [4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id = 1"), df, 5).orderBy("rank").collect()]
+    assert got == [(1, 2, 2 * 5 * 65536), (2, 2, 2 * 5 * 65536), (3, 3, 2 * 4 * 65536)]
+
+
+def test_top_k_of_large_components(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [70000.0]), (3, [80000.0])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id = 1"), df, 5).orderBy("rank").collect()]
+    assert got == [(3, 5242880000), (2, 4587520000)]
+    for big in ([1e30], [1e15, 1e15]):  # a component, a product beyond 64 bits
+        rows = spark.createDataFrame([(1, big), (2, big)], "vec_id long, embedding array<double>")
+        with pytest.raises(PySparkException, match="beyond 2\\^62|does not fit 64 bits"):
+            topk.top_k(rows.where("vec_id = 1"), rows, 5).collect()
