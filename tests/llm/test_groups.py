@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pipeweave.llm import mixing, neardup, sharding, topk
+from pipeweave.llm.common import Workspace
 
 
 def brute_groups(rows):
@@ -103,6 +105,61 @@ def test_shards_are_even_and_keep_groups(spark, docs):
     assert groups.where("s = 1").count() >= 0.9 * groups.count()
 
 
+def test_shards_do_not_depend_on_partitions(spark, docs):
+    few = docs.unionByName(docs.limit(40)).unionByName(docs.limit(40).withColumn("text", F.concat("text", F.lit(" more"))))
+    shape = lambda n: sorted(tuple(r) for r in sharding.balanced_shards(few.repartition(n)).select("doc_id", "size", "text_crc32", "shard", "slot").collect())
+    assert shape(1) == shape(7) == shape(50)
+
+
+def test_sizes_and_checksums(spark, docs):
+    got = {r.doc_id: (r.size, r.text_crc32) for r in sharding.balanced_shards(docs).collect()}
+    assert got == {r.doc_id: (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()}
+
+
+def brute_moves(rows, quotas, rounds, draw):
+    """``rows``: u to (g, shard). The moves of each round as the module's text says, one row at a time."""
+    rows = dict(rows)
+    for r in range(1, rounds + 1):
+        counts = collections.Counter(rows.values())
+        home = {g: max((c, draw["home", g, s], s) for (h, s), c in counts.items() if h == g)[2] for g, _ in counts}
+        load = collections.Counter(s for _, s in rows.values())
+        leaving, demand = collections.Counter(), collections.Counter()
+        for (g, s), c in counts.items():
+            if s != home[g]:
+                leaving[s] += c
+                demand[home[g]] += c
+        chance = {s: max(0, quotas[s] - load[s] + 0.5 * leaving[s]) / max(1, demand[s]) for s in range(len(quotas))}
+        for u, (g, s) in list(rows.items()):
+            p = chance[home[g]]
+            if s != home[g] and (p >= 1 or draw[g, r] < 0.5 * p or draw[u, r] < 0.5 * p):
+                rows[u] = (g, home[g])
+    return rows
+
+
+def test_moves_equal_brute_force(spark):
+    rows = [(u, 1000 + u % 7 + (0 if u < 150 else 50), u * 31 % 4, u % sharding.SALT) for u in range(300)]
+    df = spark.createDataFrame(rows, "u long, g long, shard int, salt int")
+    quotas, rounds = [60, 60, 59, 59], 3
+    draw = {}
+    turns = spark.range(1, rounds + 1).select(F.col("id").cast("int").alias("r"))
+    for c in ("u", "g"):
+        draw |= {(x.k, x.r): x.d for x in df.select(F.col(c).alias("k")).distinct().join(turns).select("k", "r", sharding._draw(F.col("k"), F.col("r")).alias("d")).collect()}
+    shards = spark.range(4).select(F.col("id").cast("int").alias("s"))
+    draw |= {("home", x.g, x.s): x.d for x in df.select("g").distinct().join(shards).select("g", "s", F.xxhash64("g", "s").alias("d")).collect()}
+    space = Workspace(spark, "test")
+    got = {x.u: (x.g, x["shard"]) for x in sharding.propagated(space.save(df, "linked-0"), quotas, rounds, space).collect()}
+    assert got == brute_moves({u: (g, s) for u, g, s, _ in rows}, quotas, rounds, draw)
+    assert got != {u: (g, s) for u, g, s, _ in rows}
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LOT", 30)
+    df = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 300, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    out = sharding.balanced_shards(df).persist()
+    check_shards(out, 500)
+    assert out.where(f"text_crc32 = {zlib.crc32(b'same')}").count() == 300
+
+
 def test_a_group_larger_than_a_shard(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     out = sharding.balanced_shards(df).persist()
