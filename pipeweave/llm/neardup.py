@@ -10,13 +10,19 @@ full sets are compared. A link is confirmed on the full sets only.
 Three rounds keep pairs linear in the input: (1) in each band bucket, everyone against the
 bucket's smallest id; (2) everyone against a randomly chosen member, across components only;
 (3) what is left, members of one bucket in different components, in blocks of bounded size that
-compare all cross pairs not already connected. Links become components by alternating star
-contraction.
+compare all cross pairs not already connected. In buckets of several blocks the sketches alone are compared first, and only
+documents that some sketch of another component comes near take their sets to the blocks. Links become components by
+alternating star contraction.
+
+No join waits for one key: buckets and hubs (the documents many others are compared with) that hold more than 1 in 20,000
+rows are so few (640,000 at most, as each document has 32 bands) that what is joined to them is broadcast, or
+they are dealt out by salt.
 
 Defined results: null, empty and wordless texts have 0 shingles, no links, and stay; rows with
 equal ids count as one document and are in one component; rows with a null id stay unlinked;
 texts of any length are read whole; an empty table gives an empty result; only key and text are
-read, so extra columns cannot clash.
+read, so extra columns cannot clash. Keys are whole numbers, or text that spells them (other text raises an error in
+ANSI mode, and counts as null otherwise).
 """
 
 from __future__ import annotations
@@ -37,6 +43,10 @@ WIDTH, SAMPLES, BANDS, BITS = 5, 128, 32, 256
 MOST_BITS = 92
 #: Shingles in one block of a bucket, about (2 MB); a task holds two blocks.
 BLOCK = 262_144
+#: Sketches in one block (5 MB with their bands) where only these are compared.
+SKETCHES = 16_384
+#: Rows of a bucket or hub up to which it is dealt like any other, at least; and its share of all classes, 1 in so many.
+CROWD, SHARE = 256, 20_000
 _FEATURES = "id long, n long, h1 long, h2 long, bands array<long>, sketch array<long>"
 _FACTORS = [pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1 for j in range(WIDTH)]
 
@@ -192,6 +202,26 @@ def _blocks(keys: tuple, table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
 
+def _near(keys: tuple, table: pa.Table) -> pa.Table:
+    """One pair of sketch blocks of one bucket: the documents whose sketch comes near one of another component."""
+    bucket, band, first, second = (k.as_py() for k in keys)
+    own = table.column("block").to_numpy()
+    longs = lambda name, width: np.array(table.column(name).combine_chunks().flatten(), np.int64).view(np.uint64).reshape(-1, width)
+    comp, ids, bands, sketch = table.column("comp").to_numpy(), table.column("id").to_numpy(), longs("bands", BANDS), longs("sketch", 4)
+    left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+    marked = np.zeros(len(ids), bool)
+    for i in left.tolist():
+        near = (np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1) <= MOST_BITS) & (comp[right] != comp[i])
+        hits = right[near]
+        if band and len(hits):
+            hits = hits[~(bands[hits, :band] == bands[i, :band]).any(axis=1)]
+        if len(hits):
+            marked[i] = True
+            marked[hits] = True
+    found = ids[marked]
+    return pa.table({"bucket": pa.array(np.full(len(found), bucket), pa.int64()), "id": pa.array(found, pa.int64())})
+
+
 def components(edges: DataFrame, space: Workspace, tag: str, limit: int = 60) -> DataFrame:
     """``node`` and ``comp``, the smallest node reachable, for every node of ``edges`` (``a``, ``b``).
 
@@ -222,19 +252,29 @@ def _distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
 
 
+def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], most: int) -> DataFrame:
+    """Left join to a table with a row for each key and ``n``, the rows of ``rows`` that have the key: keys of more than
+    ``most`` rows, which are few, are broadcast, and their rows stay where they lie."""
+    hot, rest = table.where(F.col("n") > most).drop("n"), table.where(F.col("n") <= most).drop("n")
+    tagged = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left").where("__hot").drop("__hot")
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, "left")
+    return tagged.unionByName(others)
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest id of the document's group) and ``kept``
     (the document is that one), a row for each row of ``docs``."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "neardup")
+    space = Workspace(docs.sparkSession, "neardup")
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     features = space.save(source.mapInArrow(_features, _FEATURES), "features")
     real = features.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = real.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = real.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     classes = space.save(classes, "classes")
+    most = max(CROWD, classes.count() // SHARE)
     placed = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1")
-    crowd = space.save(placed.join(sizes, "bucket"), "crowd")
+    sizes = space.save(sizes.withColumn("n", F.col("size")), "sizes")
+    crowd = space.save(dealt_join(placed, sizes, ["bucket"], most).where("size is not null"), "crowd")
     involved = crowd.select("id").distinct()
     sets = space.save(source.where(F.col("id").isNotNull()).join(involved, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
     sketches = classes.select("id", "sketch").dropDuplicates(["id"])
@@ -247,12 +287,27 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         known = label.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
         return df.join(known, F.col(name) == F.col("__node"), "left").withColumn(out, F.coalesce("__comp", name)).drop("__node", "__comp")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-        right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-        likely = pairs.distinct().join(right, "b").join(left, "a").where(_distance(F.col("sa"), F.col("sb")) <= MOST_BITS).select("a", "b")
+    def by_bucket(rows: DataFrame, table: DataFrame) -> DataFrame:
+        """``rows`` joined to a table with a row for each bucket; both have its ``size``. Few buckets are large."""
+        large, small = F.col("size") > most, F.col("size") <= most
+        return rows.where(large).join(F.broadcast(table.where(large)), ["bucket", "size"]).unionByName(rows.where(small).join(table.where(small), ["bucket", "size"]))
+
+    def hub_join(pairs: DataFrame, values: DataFrame, hubs: DataFrame) -> DataFrame:
+        """``pairs`` joined to ``values`` (a row for each ``a``); a hub's pairs are dealt out by salt. Few ids are hubs."""
+        left = pairs.join(F.broadcast(hubs), "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("spread")), F.lit(0).cast("long"))).drop("spread")
+        right = values.join(F.broadcast(hubs), "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("spread", F.lit(1).cast("long")) - 1))).drop("spread")
+        return left.join(right, ["a", "salt"]).drop("salt")
+
+    def confirm(pairs: DataFrame, tag: str) -> DataFrame:
+        """The pairs (``a``: the one many are compared with) whose sketches and then full sets are alike."""
+        pairs = space.save(pairs.distinct(), f"pairs-{tag}")
+        hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("a", F.ceil(F.col("n") / F.lit(most)).alias("spread"))
+        hubs = space.save(hubs, f"hubs-{tag}")
+        with_b = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+        both = hub_join(with_b, sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), hubs)
+        likely = both.where(_distance(F.col("sa"), F.col("sb")) <= MOST_BITS).select("a", "b")
         with_b = likely.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        with_a = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+        with_a = hub_join(with_b, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), hubs)
         return with_a.select("a", "b", "x", "y").mapInArrow(lambda it: _confirmed(it, percent), "a long, b long")
 
     def settle(links: DataFrame, tag: str) -> DataFrame:
@@ -262,28 +317,47 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             found = found.unionByName(label.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         return space.save(components(found, space, f"stars-{tag}"), f"labels-{tag}")
 
-    label = settle(confirm(crowd.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))), "first")
+    def blocked(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Each row once for each block pair of its bucket that its own block is in; ``blocks``: of each bucket, how many."""
+        rows = by_bucket(rows, blocks).withColumn("block", F.pmod(F.xxhash64("comp", "id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.withColumns({"one": F.least("block", "mate"), "two": F.greatest("block", "mate")})
 
-    larger = space.save(labelled(crowd.where("size > 2"), "id", "comp"), "larger")
-    split = larger.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("id", F.xxhash64("id", "bucket")).alias("pick"))
-    pairs = labelled(larger.join(split.where("low <> high").select("bucket", "pick"), "bucket"), "pick", "pick_comp")
-    label = settle(confirm(pairs.where("comp <> pick_comp").select(F.least("pick", "id").alias("a"), F.greatest("pick", "id").alias("b"))), "pick")
+    label = settle(confirm(crowd.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), "first"), "first")
+
+    larger = space.save(labelled(crowd.where("size > 2").drop("first"), "id", "comp"), "larger")
+    split = larger.groupBy("bucket").agg(F.first("size").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", "bucket")).alias("pick"))
+    pairs = by_bucket(larger, split.where("low <> high").select("bucket", "size", "pick"))
+    label = settle(confirm(pairs.where("comp <> pick.comp").select(F.col("pick.id").alias("a"), F.col("id").alias("b")), "pick"), "pick")
 
     rest = labelled(larger.drop("comp"), "id", "comp")
-    split = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    split = rest.groupBy("bucket").agg(F.first("size").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     known = classes.select("id", "n", "bands", "sketch").dropDuplicates(["id"])
-    rest = space.save(rest.join(split, "bucket").join(known, "id"), "rest")
-    weight = rest.groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    rest = rest.join(weight, "bucket").withColumn("block", F.pmod(F.xxhash64("comp", "id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.withColumns({"one": F.least("block", "mate"), "two": F.greatest("block", "mate")}).join(sets, "id")
-    spread = rest.groupBy("bucket", "band", "one", "two")
-    cross = spread.applyInArrow(lambda k, t: _blocks(k, t, percent), "a long, b long")
-    label = settle(cross, "rest")
-
-    named = features.where(F.col("id").isNotNull() & (F.col("n") > 0)).select("id", "h1", "h2").alias("f")
-    named = named.join(classes.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep")
-    named = labelled(named, "rep", "comp").groupBy("id").agg(F.min("comp").alias("comp"))
-    out = features.select("id", "n").join(named, "id", "left")
+    rest = space.save(by_bucket(rest, split.select("bucket", "size")).join(known, "id"), "rest")
+
+    def weight(rows: DataFrame) -> DataFrame:
+        """Of each bucket, how many blocks of sets and of sketches its rows fill."""
+        number = lambda x, block: F.ceil(x / F.lit(float(block))).cast("int")
+        return rows.groupBy("bucket").agg(F.first("size").alias("size"), number(F.sum("n"), BLOCK).alias("blocks"), number(F.count(F.lit(1)), SKETCHES).alias("piles"))
+
+    weights = space.save(weight(rest), "weights")
+    wide = weights.where("blocks > 1")
+    sieve = blocked(rest, wide.select("bucket", "size", F.col("piles").alias("blocks"))).groupBy("bucket", "band", "one", "two")
+    near = space.save(sieve.applyInArrow(_near, "bucket long, id long").distinct(), "near")
+    slim = by_bucket(rest, wide.select("bucket", "size")).join(near, ["bucket", "id"], "left_semi")
+    slim = space.save(slim.select(rest.columns), "slim")
+    every = by_bucket(rest, weights.where("blocks = 1").select("bucket", "size")).select(rest.columns).unionByName(slim)
+    weights = weights.where("blocks = 1").unionByName(weight(slim)).select("bucket", "size", "blocks")
+    spread = blocked(every, space.save(weights, "blocks")).join(sets, "id").groupBy("bucket", "band", "one", "two")
+    label = settle(spread.applyInArrow(lambda k, t: _blocks(k, t, percent), "a long, b long"), "rest")
+
+    reps = labelled(classes.select("h1", "h2", "id", F.col("copies").alias("n")), "id", "comp").drop("id")
+    placed = features.where(F.col("id").isNotNull() & (F.col("n") > 0)).select("id", "h1", "h2")
+    rows = max(CROWD, features.count() // SHARE)
+    named = dealt_join(placed, space.save(reps, "reps"), ["h1", "h2"], rows).groupBy("id").agg(F.min("comp").alias("comp"), F.count(F.lit(1)).alias("n"))
+    named = space.save(named, "named")
+    out = dealt_join(features.select("id", F.col("n").alias("n_shingles")), named, ["id"], rows)
     group = F.coalesce("comp", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias(key), "n_shingles", group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
+    space.keep("features", "named")
+    return out

@@ -75,8 +75,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, sampling probability and draw of every document."""
-    out = mixing.mix(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+    return mixing.mix(_table(spark, sf_dir, "documents"), returned=["doc_id", "source", "lang"])
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
