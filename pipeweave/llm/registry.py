@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from pipeweave.llm import langid, mixing, neardup, pieces, quality, rules, sharding, topk, toxicity, warc
+from pipeweave.llm import langid, mixing, neardup, pieces, quality, rules, sharding, stages, topk, toxicity, warc
 from pipeweave.llm.common import key_crc
 
-PIECES = corpus_pipeline.PIECES
+PIECES = stages.PIECES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +84,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    """The corpus pipeline: see ``stages``."""
+    return stages.run(spark, sf_dir)
 
 
 _TOPK_SQL = """
@@ -135,4 +135,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {"op2_topk": _TOPK_SQL, "op5_neardup": _NEARDUP_SQL, "op10_warc": _WARC_SQL}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return found | ({"pipeline": stages.ORACLE_SQL} if stages.ORACLE_SQL else {})

@@ -225,6 +225,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     space = Workspace(docs.sparkSession, "rules")
     counted = space.save(with_counts(docs.select(key, text), text=text).drop(text), "counts")
     scored = space.save(with_anomaly(counted, fit_forest(counted, key=key)).withColumn("rule", leading_rule()), "scored")
+    space.keep("scored")
     limit = F.lit(float("inf"))
     for rule, at in thresholds(scored, labels, key=key, lost=lost).items():
         limit = F.when(F.col("rule") == rule, F.lit(at)).otherwise(limit)

@@ -8,13 +8,15 @@ record from the version block, then for each record a name-based UUID identifier
 timestamp, the record type, and SHA-1 digests of block and payload. A payload of ``MIN_REVISIT``
 bytes or more that another record holds becomes a ``revisit`` without payload.
 
-Archives are files of a few MB in the shared folder, gzip by record, under names that depend on
-the task's partition only, so a repeated task writes the same file again.
+Archives are files of a few MB, gzip by record, under names that depend on the task's partition only, so a repeated task
+writes the same file again. They lie in the folder that ``folder`` names (any file system), or else in the
+shared folder, from which they go with the session.
 
 Defined results: a null page is an empty payload; a null page id makes a response without an id,
 which nothing revisits; spaces and line breaks in a url are
 percent-encoded in headers; a null url becomes ``about:blank``; repeated page ids are written as
-they come, each by its own payload; an empty table gives an empty result; extra columns are ignored. A truncated or
+they come, each by its own payload; ids are whole numbers, or text that spells them (other text raises an error in ANSI
+mode); pages of any length are written whole; an empty table gives an empty result; extra columns are ignored. A truncated or
 malformed ARC record raises ``ArcError`` with its offset.
 """
 
@@ -285,14 +287,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, kind)
 
 
-def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", space: Workspace | None = None) -> DataFrame:
-    """Write every page into ARC and WARC archives in the shared folder; ``path``, ``records``, ``bytes`` of each WARC file.
+def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:
+    """Write every page into ARC and WARC archives; ``path``, ``records``, ``bytes`` of each WARC file.
 
     Of pages with equal payloads of ``MIN_REVISIT`` bytes or more, the one with the largest key is
     the response. Only digests are shuffled to find it; the join back is on (digest, salt).
     """
     spark = pages.sparkSession
-    space = space or Workspace(spark, "warc")
+    space = Workspace(spark, "warc")
     p = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     light = p.select("id", "url", F.sha1(payload).alias("d"), F.octet_length(payload).alias("n")).where(F.col("n") >= MIN_REVISIT)
@@ -305,8 +307,10 @@ def write_archives(pages: DataFrame, *, key: str = "page_id", url: str = "url",
     if again.count() <= SMALL_REVISITS:
         again = F.broadcast(again)
     rows = p.withColumn("d", F.sha1(payload)).join(again, ["id", "d"], "left").select("id", "url", "html", "to", "to_url")
-    root = space.path("archives")
-    return space.save(rows.mapInArrow(lambda b: _write(b, root), "path string, records long, bytes long"), "manifest")
+    root = folder.rstrip("/") if folder else space.path("archives")
+    out = space.save(rows.mapInArrow(lambda b: _write(b, root), "path string, records long, bytes long"), "manifest")
+    space.keep("manifest")
+    return out
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
