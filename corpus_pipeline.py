@@ -1,75 +1,9 @@
-"""A corpus pipeline over the documents table: five stages, each reading what the one before kept.
+"""The corpus pipeline over the documents table: language ID, quality classifier, near-dedup, mixing, SentencePiece.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet
-into the shared folder and reads it back for the next. All but the last return the columns of
-documents. The last stage's results cannot be said in SQL; tests compare the stages with
-brute force and exact round trips.
-
-Nulls: a text without a letter (null too) is rejected by the first stage; a null language gets the
-predicted one; other nulls pass. An empty table gives empty results at every stage.
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir). ``run`` applies them, each result written as
+Parquet and read back for the next. What each stage does, and with odd rows, is said at its function.
 """
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from pipeweave.llm import langid, mixing, neardup, pieces, quality
-from pipeweave.llm.common import Workspace, key_crc
-
-#: A public SentencePiece model, at the same path on every executor.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-#: Mean out-of-place distance above which a text resembles no learned language (1: nothing in common), and what
-#: a text of one letter may have besides (less in proportion to its letters). Held-out texts of sf0.01 lie at 0.10 to
-#: 0.42, pieces of 5 to 600 characters of them at up to 0.67 (10 characters); random letters at 0.72 or more from 80 characters on.
-STRANGE, SHORT = 0.6, 1.0
-#: Quality below which a document is rejected.
-POOR = 0.5
-#: Share of all tokens that mixing keeps.
-BUDGET = 0.8
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject texts without a letter or unlike every learned language; fill in missing languages."""
-    model = langid.fit(docs.where(key_crc("doc_id") % 5 != 0))
-    found = langid.predict(docs, model)
-    letters = F.length(F.regexp_replace("text", r"\P{L}", ""))
-    kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("lang_distance") <= STRANGE + SHORT / letters))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents of poor quality."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, quality.fit(docs, labels))
-    return scored.where(F.col("quality_score") >= POOR).select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group."""
-    found = neardup.near_duplicates(docs)
-    kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents towards raked source, language and topic weights."""
-    return mixing.mix(docs, budget=BUDGET).where("selected").select(*docs.columns)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and two sampled segmentations beside them."""
-    coded = pieces.encode(docs, PIECES, samples=2, rows=300)
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "decoded", "samples")
-
-
-STAGES = [("language_id", language_id), ("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("sentencepiece", encode)]
-ORACLE_SQL = None
-
+from pipeweave.llm.stages import ORACLE_SQL, STAGES, encode, language_id, mix_sources, near_dedup, quality_classifier, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = space.save(stage(spark, docs, sf_dir), f"{k}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "encode", "language_id", "mix_sources", "near_dedup", "quality_classifier", "run"]
