@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from pipeweave.operators.rel import Rel
 
@@ -52,19 +55,25 @@ def barrier(schema: str) -> Callable:
 
 
 def retry(operation: Callable[[object], object], attempts: int, kind: str, when: Callable[[Exception], bool] = lambda e: True) -> Callable[[Column], Column]:
-    """Call until it succeeds, at most ``attempts`` times; the last error is the result's err."""
+    """Call until it succeeds, at most ``attempts`` times; the last error is the result's err. Values come in Arrow batches."""
+    result = f"struct<is_ok:boolean,ok:{kind},err:string>"
+    arrow = to_arrow_type(_parse_datatype_string(result))
 
-    @F.udf(f"struct<is_ok:boolean,ok:{kind},err:string>")
-    def run(value):
+    def one(value: object) -> dict[str, object]:
         error = None
         for _ in range(attempts):
             try:
-                return True, operation(value), None
+                return {"is_ok": True, "ok": operation(value), "err": None}
             except Exception as e:  # noqa: BLE001
                 error = e
                 if not when(e):
                     break
-        return False, None, str(error)
+        return {"is_ok": False, "ok": None, "err": str(error)}
+
+    @F.arrow_udf(result)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([one(v) for v in batch.to_pylist()], arrow)
 
     return run.asNondeterministic()
 

@@ -5,6 +5,8 @@ All but the ordered folds combine partial results, so they work on either side o
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +28,15 @@ def sum(column: Column) -> Column:
 
 
 def product(column: Column, exact: bool = False) -> Column:
-    """Floats by the built-in; ``exact`` multiplies integers with an overflow error."""
+    """Floats by the built-in; ``exact`` multiplies integers with an overflow error.
+
+    Only factors other than 0, 1 and -1 are gathered, and more than 62 of these overflow unless another factor is 0.
+    """
     if exact:
-        return F.aggregate(F.collect_list(column.cast("bigint")), F.lit(1).cast("bigint"), lambda a, x: a * x)
+        x = column.cast("bigint")
+        factors = F.collect_list(F.when(F.abs(x) > 1, x))
+        sign = F.when(F.count_if(x == -1) % 2 == 1, F.lit(-1).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
+        return F.when(F.count_if(x == 0) > 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(factors, sign, lambda a, f: a * f))
     return F.coalesce(F.product(column), F.lit(1.0))
 
 
@@ -164,3 +172,25 @@ def quantiles(column: Column, n: int) -> Column:
 def mode(column: Column) -> Column:
     """The most frequent value, the least of equals."""
     return F.mode(column, True)
+
+
+# named combiners: how a reduction by one runs, and how its result joins an initial value
+
+COMBINERS = {
+    "add": (lambda x: F.sum(x), lambda a, b: a + b),
+    "mul": (lambda x: product(x), lambda a, b: a * b),
+    "min": (lambda x: F.min(x), F.least),
+    "max": (lambda x: F.max(x), F.greatest),
+    "and": (lambda x: F.bool_and(x), lambda a, b: a & b),
+    "or": (lambda x: F.bool_or(x), lambda a, b: a | b),
+    "union": (lambda x: union_all(x), lambda a, b: F.array_sort(F.array_union(a, b))),
+}
+_OPERATORS = {operator.add: "add", operator.mul: "mul", operator.and_: "and", operator.or_: "or", F.least: "min", F.greatest: "max", F.array_union: "union"}
+
+
+def combiner(by: object) -> tuple | None:
+    """The aggregate that a name or operator stands for; None for any other function."""
+    if isinstance(by, str):
+        return COMBINERS[by]
+    name = _OPERATORS.get(by)
+    return COMBINERS[name] if name else None

@@ -8,10 +8,11 @@ a prefix sum over partition sizes, never by a window over all rows.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipeweave.operators import aggregates as A
@@ -25,6 +26,17 @@ class Unbounded(TypeError):
     """A step that needs a finite input met a stream."""
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one in local tests."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="pipeweave-")
+    return found.rstrip("/")
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Fix a result that two evaluations could give differently: a checkpoint in the shared folder, or a cache without one."""
     sc = df.sparkSession.sparkContext
@@ -321,9 +333,17 @@ class Rel:
         """Counts by the lower edge of each cell of ``width``."""
         return self.raw.groupBy(A.bucket(column, width).alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
 
-    def reduce(self, item: Column, initial: Column | None, by: Callable[[Column, Column], Column]) -> DataFrame:
-        """A fold in order by any function: one task, for small inputs; named combiners are in ``aggregates``."""
+    def reduce(self, item: Column, initial: Column | None, by: str | Callable[[Column, Column], Column]) -> DataFrame:
+        """A fold of all rows. A named combiner (``aggregates.COMBINERS``, or the operator that it names) is a built-in
+        aggregate, combined before the shuffle; any other function folds in order in one task, for small inputs."""
         self.finite("reduce")
+        named = A.combiner(by)
+        if named is not None:
+            whole, both = named
+            rest = whole(item)
+            if initial is None:
+                return self.raw.agg(F.when(F.count(F.lit(1)) > 0, rest).alias("reduced"))
+            return self.raw.agg(F.when(F.count(F.lit(1)) > 0, both(initial, rest)).otherwise(initial).alias("reduced"))
         order = [k.column.alias(f"k{i}") for i, k in enumerate(self.order)]
         rows = F.array_sort(F.collect_list(F.struct(*order, item.alias("x"))))
         items = F.transform(rows, lambda r: r.x)
@@ -332,12 +352,15 @@ class Rel:
         return self.raw.agg(F.aggregate(rest, start, by).alias("reduced"))
 
     def sample(self, n: int, seed: int, key: Column | None = None) -> Rel:
-        """n rows by the hash of the seed and a key, in their own order."""
-        number = F.xxhash64(F.lit(seed), key if key is not None else F.struct(*self.columns))
-        return self._keep(self.raw.withColumn("__h", number).orderBy("__h", *self.columns).limit(n).drop("__h"))
+        """n rows by the digest of the seed and a key, in their own order."""
+        return self._keep(self.raw.withColumn("__h", self._draw(seed, key)).orderBy("__h", *self.columns).limit(n).drop("__h"))
+
+    def shuffle(self, seed: int, key: Column | None = None) -> Rel:
+        return Rel.of(self.raw.select(*self.columns).withColumn("__h", self._draw(seed, key)), "__h", *self.columns).map(*self.columns)
 
-    def shuffle(self, seed: int) -> Rel:
-        return Rel.of(self.raw.select(*self.columns).withColumn("__h", F.xxhash64(F.lit(seed), F.struct(*self.columns))), "__h").map(*self.columns)
+    def _draw(self, seed: int, key: Column | None) -> Column:
+        """A digest as random number: ``md5`` of seed, colon and key, the same in any engine."""
+        return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string") if key is not None else F.to_json(F.struct(*self.columns))))
 
     def choice(self, seed: int) -> Rel:
         return self.sample(1, seed)

@@ -5,10 +5,6 @@ Every query reads whole tables. Floats are rounded on both sides.
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeweave.functions import graph, numbers, search, text, times, values
@@ -19,38 +15,10 @@ from pipeweave.operators.order import ascending, compare, descending
 from pipeweave.operators.rel import Rel
 from pipeweave.plans import flow
 from pipeweave.plans.contract import Contract
+from pipeweave.plans.registered import ORACLE, QUERIES, Query, dec, query
 from pipeweave.sources import files
 from pipeweave.streaming import live
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Register a query of the tables under its name, with its SQL."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def dec(c, digits: int = 4):
-    return F.round(c, digits)
-
-
 # ---- rows
 
 
@@ -152,27 +120,21 @@ def q_collect_batches(t):
     return Rel.of(t.orders, "o_orderkey").collect(64, F.col("o_orderkey")).map(first=F.get("items", F.lit(0)), n=F.size("items").cast("bigint")).df
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey = 7")
-def q_emit(t):
-    return Rel.of(t.orders.where("o_custkey = 7"), "o_orderkey").collect(3, F.col("o_orderkey")).emit("items").map(o_orderkey=F.col("items")).df
-
-
 @query("SELECT o_orderkey FROM orders")
-def q_emit_all(t):
+def q_emit(t):
     return Rel.of(t.orders, "o_orderkey").collect(3, F.col("o_orderkey")).emit("items").map(o_orderkey=F.col("items")).df
 
 
 # ---- joins and sets
 
-BIG = "o_totalprice > 300000"
 
 
-def _big(t):
-    return Rel.of(t.orders.where(BIG), "o_orderkey").map("o_orderkey", "o_custkey")
+def _orders(t):
+    return Rel.of(t.orders, "o_orderkey").map("o_orderkey", "o_custkey", "o_totalprice")
 
 
 def _cust(t):
-    return Rel.of(t.customer, "c_custkey").map("c_custkey", "c_nationkey")
+    return Rel.of(t.customer, "c_custkey").map("c_custkey", "c_nationkey", "c_acctbal")
 
 
 KEYS = {"left_on": ["c_custkey"], "right_on": ["o_custkey"]}
@@ -182,51 +144,43 @@ def _into():
     return {"c_custkey": F.col("l.c_custkey"), "o_orderkey": F.col("r.o_orderkey")}
 
 
-@query(f"SELECT c_custkey, o_orderkey FROM customer JOIN (SELECT * FROM orders WHERE {BIG}) ON c_custkey = o_custkey")
-def q_join_inner(t):
-    return joins.join(_cust(t), _big(t), **KEYS, into=_into()).df
+def _large(_, r):
+    return r("o_totalprice") > 300000
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
-def q_join_inner_all(t):
-    return joins.join(_cust(t), Rel.of(t.orders, "o_orderkey").map("o_orderkey", "o_custkey"), **KEYS, into=_into()).df
-
-
-@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
-def q_join_left_all(t):
-    return joins.left_join(_cust(t), Rel.of(t.orders, "o_orderkey").map("o_orderkey", "o_custkey"), **KEYS, into=_into()).df
+def q_join_inner(t):
+    return joins.join(_cust(t), _orders(t), **KEYS, into=_into()).df
 
 
-@query(f"SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE {BIG}) ON c_custkey = o_custkey")
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000")
 def q_join_left(t):
-    return joins.left_join(_cust(t), _big(t), **KEYS, into=_into()).df
+    return joins.left_join(_cust(t), _orders(t), **KEYS, on=_large, into=_into()).df
 
 
-@query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 5000) RIGHT JOIN (SELECT * FROM orders WHERE {BIG}) ON c_custkey = o_custkey")
+@query("SELECT c_custkey, o_orderkey FROM customer RIGHT JOIN orders ON c_custkey = o_custkey AND c_acctbal > 5000")
 def q_join_right(t):
-    left = Rel.of(t.customer.where("c_acctbal > 5000"), "c_custkey").map("c_custkey")
-    return joins.right_join(left, _big(t), **KEYS, into=_into()).df
+    return joins.right_join(_cust(t), _orders(t), **KEYS, on=lambda l, _: l("c_acctbal") > 5000, into=_into()).df
 
 
-@query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 5000) FULL JOIN (SELECT * FROM orders WHERE {BIG}) ON c_custkey = o_custkey")
+@query("SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 AND c_acctbal > 5000")
 def q_join_full(t):
-    left = Rel.of(t.customer.where("c_acctbal > 5000"), "c_custkey").map("c_custkey")
-    return joins.full_join(left, _big(t), **KEYS, into=_into()).df
+    return joins.full_join(_cust(t), _orders(t), **KEYS, on=lambda l, r: _large(l, r) & (l("c_acctbal") > 5000), into=_into()).df
 
 
-@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+@query("SELECT s_suppkey, n_name FROM supplier CROSS JOIN nation")
 def q_join_cross(t):
-    return joins.cross_join(Rel.of(t.region, "r_regionkey"), Rel.of(t.nation, "n_nationkey"), into={"r_name": F.col("l.r_name"), "n_name": F.col("r.n_name")}).df
+    return joins.cross_join(Rel.of(t.supplier, "s_suppkey"), Rel.of(t.nation, "n_nationkey"), into={"s_suppkey": F.col("l.s_suppkey"), "n_name": F.col("r.n_name")}).df
 
 
-@query(f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE {BIG} AND o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 300000 AND o_custkey = c_custkey)")
 def q_join_semi(t):
-    return joins.semi_join(_cust(t), _big(t), **KEYS).map("c_custkey").df
+    return joins.semi_join(_cust(t), _orders(t), **KEYS, on=_large).map("c_custkey").df
 
 
-@query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE {BIG} AND o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 300000 AND o_custkey = c_custkey)")
 def q_join_anti(t):
-    return joins.anti_join(_cust(t), _big(t), **KEYS).map("c_custkey").df
+    return joins.anti_join(_cust(t), _orders(t), **KEYS, on=_large).map("c_custkey").df
 
 
 @query("SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON n_regionkey < 2 AND s_nationkey < n_nationkey")
@@ -254,34 +208,38 @@ def q_star_revenue(t):
     return Rel(wide).group("r_name", "n_name").map(revenue=dec(A.sum(F.col("net")), 2))
 
 
-@query("SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
-def q_union(t):
-    return _nations(t.customer, "c").union(_nations(t.supplier, "s")).df
+_CELLS = "SELECT c_nationkey AS nation, CAST(floor(c_acctbal / 500) AS BIGINT) AS cell FROM customer %s SELECT s_nationkey, CAST(floor(s_acctbal / 500) AS BIGINT) FROM supplier"
+
 
+def _cells(df, p):
+    """Each nation with its balances in steps of 500."""
+    return Rel(df).map(nation=F.col(f"{p}_nationkey"), cell=F.floor(F.col(f"{p}_acctbal") / 500))
 
-def _nations(df, p):
-    return Rel(df.where(f"{p}_acctbal > 9000")).map(nation=F.col(f"{p}_nationkey"))
+
+@query(_CELLS % "UNION")
+def q_union(t):
+    return _cells(t.customer, "c").union(_cells(t.supplier, "s")).df
 
 
-@query("SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
+@query(_CELLS % "UNION ALL")
 def q_concat(t):
-    return _nations(t.customer, "c").concat(_nations(t.supplier, "s")).df
+    return _cells(t.customer, "c").concat(_cells(t.supplier, "s")).df
 
 
-@query("SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
+@query(_CELLS % "INTERSECT")
 def q_intersection(t):
-    return _nations(t.customer, "c").intersection(_nations(t.supplier, "s")).df
+    return _cells(t.customer, "c").intersection(_cells(t.supplier, "s")).df
 
 
-@query("SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
+@query(_CELLS % "EXCEPT")
 def q_difference(t):
-    return _nations(t.customer, "c").difference(_nations(t.supplier, "s")).df
+    return _cells(t.customer, "c").difference(_cells(t.supplier, "s")).df
 
 
-@query("""WITH a AS (SELECT r_regionkey AS x, 2 * (row_number() OVER (ORDER BY r_regionkey) - 1) AS n FROM region), b AS (SELECT n_nationkey AS x, 2 * (row_number() OVER (ORDER BY n_nationkey) - 1) + 1 AS n FROM nation)
+@query("""WITH a AS (SELECT o_orderkey AS x, 2 * (row_number() OVER (ORDER BY o_orderkey) - 1) AS n FROM orders), b AS (SELECT event_id AS x, 2 * (row_number() OVER (ORDER BY event_id) - 1) + 1 AS n FROM events)
  SELECT x, row_number() OVER (ORDER BY n) - 1 AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
 def q_merge_streams(t):
-    return Rel.of(t.region, "r_regionkey").map(x=F.col("r_regionkey")).merge(Rel.of(t.nation, "n_nationkey").map(x=F.col("n_nationkey"))).enumerate("place").df
+    return Rel.of(t.orders, "o_orderkey").map(x=F.col("o_orderkey")).merge(Rel.of(t.events, "event_id").map(x=F.col("event_id"))).enumerate("place").df
 
 
 # ---- reductions
@@ -302,11 +260,10 @@ def q_histogram_float(t):
     return Rel(t.events).histogram(F.col("value"), 12.5)
 
 
-@query("""SELECT r_regionkey, CAST(product(n_nationkey + 1) AS BIGINT) AS exact, round(product(1 + n_nationkey / 10), 4) AS float
- FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey""")
+@query("""SELECT l_orderkey, CAST(product(CASE WHEN l_linenumber = 0 THEN 1 ELSE l_linenumber END) AS BIGINT) AS exact, round(product(1 + l_tax), 6) AS float FROM lineitem GROUP BY l_orderkey HAVING count(*) < 12""")
 def q_product(t):
-    rows = t.region.join(t.nation, F.col("r_regionkey") == F.col("n_regionkey"))
-    return Rel(rows).group("r_regionkey").map(exact=A.product(F.col("n_nationkey") + 1, exact=True), float=dec(A.product(1 + F.col("n_nationkey") / 10)))
+    rows = Rel(t.lineitem).group("l_orderkey").filter(A.size() < 12)
+    return rows.map(exact=A.product(F.col("l_linenumber"), exact=True), float=dec(A.product(1 + F.col("l_tax")), 6))
 
 
 @query("""SELECT user_id, bool_or(value > 99) AS any, bool_and(value > 1) AS all, CAST(count_if(event_type = 'click') AS BIGINT) AS clicks, bool_or(event_type = 'purchase') AS has FROM events GROUP BY user_id""")
@@ -320,9 +277,9 @@ def q_min_max_by(t):
     return Rel(t.orders).group("o_custkey").map(least=A.min_by(k, F.col("o_totalprice"), k), most=A.max_by(k, F.col("o_totalprice"), k))
 
 
-@query("SELECT list_reduce(list(n_nationkey ORDER BY n_nationkey), lambda a, x: (a * 31 + x) % 100003, 7) AS reduced FROM nation")
+@query("SELECT list_reduce(list(c_custkey ORDER BY c_custkey), lambda a, x: (a * 31 + x) % 100003, 7) AS reduced FROM customer")
 def q_reduce_fold(t):
-    return Rel.of(t.nation, "n_nationkey").reduce(F.col("n_nationkey").cast("int"), F.lit(7), lambda a, x: (a * 31 + x) % 100003)
+    return Rel.of(t.customer, "c_custkey").reduce(F.col("c_custkey"), F.lit(7).cast("bigint"), lambda a, x: (a * 31 + x) % 100003)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS sum, 1.0 AS product, CAST(NULL AS DOUBLE) AS average, CAST(0 AS BIGINT) AS size, true AS empty, false AS any, true AS all")
@@ -331,10 +288,11 @@ def q_empty_identities(t):
     return none.agg(sum=A.sum(F.col("o_custkey")), product=A.product(F.col("o_totalprice")), average=A.average(F.col("o_totalprice")), size=A.size(), empty=A.is_empty(), any=A.any(F.col("o_custkey") > 0), all=A.all(F.col("o_custkey") > 0))
 
 
-@query("SELECT event_type, true AS close FROM events GROUP BY event_type")
+@query("SELECT o_orderpriority, count(DISTINCT o_custkey) AS exact, true AS close FROM orders GROUP BY o_orderpriority")
 def q_approx_distinct(t):
-    exact = F.count_distinct("user_id")
-    return Rel(t.events).group("event_type").map(close=F.abs(A.approx_distinct(F.col("user_id")) - exact) <= F.greatest(F.lit(2), exact * 0.05))
+    """The estimate lies within three standard errors (1.6 % each) of the exact number."""
+    exact = F.count_distinct("o_custkey")
+    return Rel(t.orders).group("o_orderpriority").map(exact=exact, close=F.abs(A.approx_distinct(F.col("o_custkey")) - exact) <= F.greatest(F.lit(2), exact * 0.05))
 
 
 @query("""SELECT l_returnflag, round(avg(l_quantity), 4) AS mean, round(var_samp(l_quantity), 4) AS variance, round(stddev_samp(l_quantity), 4) AS stdev,
@@ -370,10 +328,10 @@ def q_group_items(t):
     return out.select("o_custkey", F.get(keys, F.lit(0)).alias("first"), F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, list_sort(list(DISTINCT n_nationkey % 3))[1] AS least FROM nation GROUP BY n_regionkey")
+@query("SELECT o_custkey, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS states, list_sort(list(DISTINCT o_orderkey % 3))[1] AS least FROM orders GROUP BY o_custkey")
 def q_concat_union_all(t):
-    k = F.col("n_nationkey")
-    return Rel(t.nation).group("n_regionkey").map(names=F.array_join(A.concat_all(F.array("n_name"), k), ","), least=F.get(A.union_all(F.array(k % 3)), F.lit(0)))
+    k = F.col("o_orderkey")
+    return Rel(t.orders).group("o_custkey").map(states=F.array_join(A.concat_all(F.array("o_orderstatus"), k), ""), least=F.get(A.union_all(F.array(k % 3)), F.lit(0)))
 
 
 # ---- windows
@@ -564,10 +522,10 @@ def q_maps(t):
     return m.select("user_id", values.unwrap_or(values.get(c, "click"), F.lit(0).cast("bigint")).alias("clicks"), F.size(values.entries(values.without(bigger, "extra"))).cast("bigint").alias("kinds"), values.get(bigger, "extra").alias("more"))
 
 
-@query("""SELECT n_nationkey, list_extract([n_nationkey, n_regionkey, 7], -1) AS last, CAST(len(range(0, n_nationkey)) AS INTEGER) AS n, CAST(list_sum([n_nationkey, n_regionkey, 7]) AS BIGINT) AS total FROM nation""")
+@query("""SELECT p_partkey, list_extract([p_size, p_partkey, 7], -1) AS last, CAST(len(range(0, p_size)) AS INTEGER) AS n, CAST(list_sum([p_size, p_partkey, 7]) AS BIGINT) AS total FROM part""")
 def q_lists(t):
-    xs = F.array(F.col("n_nationkey"), F.col("n_regionkey"), F.lit(7))
-    return t.nation.select("n_nationkey", values.list_at(xs, -1).alias("last"), F.size(F.filter(values.list_range(0, 100), lambda x: x < F.col("n_nationkey"))).alias("n"), values.list_fold(xs, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    xs = F.array(F.col("p_size").cast("bigint"), F.col("p_partkey"), F.lit(7).cast("bigint"))
+    return t.part.select("p_partkey", values.list_at(xs, -1).alias("last"), F.size(F.filter(values.list_range(0, 100), lambda x: x < F.col("p_size"))).alias("n"), values.list_fold(xs, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'debt' WHEN s_acctbal < 1000 THEN 'low' ELSE 'fine' END AS state, CAST(sign(s_nationkey - 12) AS INTEGER) AS side, least(s_nationkey, 5) AS low FROM supplier")
@@ -586,10 +544,14 @@ def q_vector_rank(t):
     return search.semantic(t.embeddings, list(want), "vec_id", "embedding", 20).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS word FROM documents
+ UNION ALL SELECT -1, unnest(regexp_extract_all(lower((SELECT text FROM benchmark ORDER BY item_id LIMIT 1)), '[\p{L}\p{N}]+'))),
+h AS (SELECT word, list_reduce(list_transform(range(1, octet_length(encode(word)) + 1), lambda i: CAST(('0x' || hex(encode(word))[2 * i - 1:2 * i]) AS HUGEINT)), lambda a, x: (xor(a, x) * 1099511628211) % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT)) % 256 AS b FROM (SELECT DISTINCT word FROM w)),
+c AS (SELECT doc_id, b, 1 + ln(count(*)) AS x FROM w JOIN h USING (word) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM c GROUP BY doc_id)
+SELECT d.doc_id, round(sum(d.x * q.x) / (any_value(n.norm) * (SELECT norm FROM n WHERE doc_id = -1)), 4) AS score FROM c d JOIN c q ON q.doc_id = -1 AND d.b = q.b JOIN n ON n.doc_id = d.doc_id WHERE d.doc_id >= 0 GROUP BY d.doc_id HAVING sum(d.x * q.x) > 0""")
 def q_lexical_rank(t):
     want = t.benchmark.orderBy("item_id").first()["text"]
-    return search.lexical(t.documents, want, "doc_id", "text", 50)
+    return search.lexical(t.documents, want, "doc_id", "text").select("doc_id", dec(F.col("score")).alias("score"))
 
 
 _EDGES = "SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer"
@@ -604,36 +566,35 @@ def q_graph_expand(t):
     return graph.expand(seed, a.unionByName(b), 2, "up").select("name", "depth")
 
 
-@query("SELECT 'up' AS way, count(*) AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'down', 1")
-def q_graph_links(t):
-    edges = t.nation.select(F.concat(F.lit("r"), "n_regionkey").alias("source"), F.concat(F.lit("n"), "n_nationkey").alias("target"))
-    count = lambda way, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(way).alias("way"), "n")
-    up = graph.uplinks(t.spark.createDataFrame([("r1",)], "name string"), edges)
-    down = graph.downlinks(t.spark.createDataFrame([("n3",)], "name string"), edges)
-    return count("up", up).unionByName(count("down", down))
-
-
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE value > 20 GROUP BY event_type")
 def q_stream_sink(t):
-    out = f"{tempfile.mkdtemp(prefix='pipeweave-')}" if t.spark.sparkContext.master.startswith("local") else f"{t.spark.conf.get('spark.checkpoint.dir')}/stream-{id(t)}"
+    out = t.folder("stream")
     rows = live.tap(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema).filter("value > 20").map("event_id", "event_type", "value")
     live.sink_parquet(rows, f"{out}/rows", f"{out}/log").awaitTermination()
     return Rel(t.spark.read.parquet(f"{out}/rows")).group("event_type").map(n=A.size(), total=dec(A.sum(F.col("value")), 2))
 
 
-@query("SELECT 100 AS n")
+@query("SELECT o_orderkey FROM orders ORDER BY md5('3:' || o_orderkey) LIMIT 100")
 def q_sample(t):
-    return Rel(t.orders).sample(100, seed=3, key=F.col("o_orderkey")).agg(n=F.count_distinct("o_orderkey").cast("int"))
+    return Rel(t.orders).map("o_orderkey").sample(100, seed=3, key=F.col("o_orderkey")).df
 
 
-@query("SELECT o_orderkey FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY md5('5:' || o_orderkey)) - 1 AS place FROM orders")
 def q_shuffle(t):
-    return Rel(t.orders).map("o_orderkey").shuffle(5).df
+    return Rel(t.orders).map("o_orderkey").shuffle(5, F.col("o_orderkey")).enumerate("place").df
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (ORDER BY md5('9:{\"event_id\":' || event_id || ',\"user_id\":' || user_id || '}')) = 1")
+def q_choice(t):
+    return Rel(t.events).map("event_id", "user_id").choice(9).df
 
 
 def queries() -> dict[str, Query]:
+    from pipeweave.plans import roundtrips, scalars  # noqa: F401 - they add theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLE)

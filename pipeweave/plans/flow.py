@@ -21,14 +21,43 @@ def shared(rel: Rel) -> Iterator[Rel]:
         held.unpersist()
 
 
-def fork(rel: Rel, **branches: Callable[[Rel], object]) -> dict[str, object]:
-    """Each branch over the same input. Branches are lazy: one that nothing reads is not run."""
-    return {name: branch(rel) for name, branch in branches.items()}
+class Fork(dict):
+    """Results by branch. The input is held from the first branch that runs until ``close`` (or the end of ``with``)."""
 
+    def __init__(self, held: DataFrame | None, found: dict[str, object]):
+        super().__init__(found)
+        self.held = held
 
-def tee(rel: Rel, branch: Callable[[Rel], object]) -> tuple[Rel, object]:
-    """The main line unchanged, and a side result."""
-    return rel, branch(rel)
+    def __enter__(self) -> Fork:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
+
+
+def _held(rel: Rel, hold: bool) -> Rel:
+    return Rel(rel.raw.persist(StorageLevel.MEMORY_AND_DISK), rel.order) if hold and not rel.raw.isStreaming else rel
+
+
+def fork(rel: Rel, *, hold: bool = True, **branches: Callable[[Rel], object]) -> Fork:
+    """Each branch over one evaluation of the input. Branches are lazy: one that nothing reads is not run.
+
+    Without ``hold`` every branch evaluates the input itself, which costs less where it is a plain scan that branches prune. A stream
+    is not held: send its branches to sinks by micro-batch (``streaming.live.route``).
+    """
+    one = _held(rel, hold)
+    return Fork(one.raw if one is not rel else None, {name: branch(one) for name, branch in branches.items()})
+
+
+def tee(rel: Rel, branch: Callable[[Rel], object], hold: bool = True) -> tuple[Rel, object]:
+    """The main line unchanged, and a side result, over one evaluation of the input."""
+    one = _held(rel, hold)
+    return one, branch(one)
 
 
 def quarantine(rel: Rel, result: str = "result") -> tuple[Rel, Rel]:

@@ -5,10 +5,14 @@ from __future__ import annotations
 import fnmatch
 import os
 import posixpath
+import sys
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +104,9 @@ def target(rel: Rel, path: str, kind: str, mode: str = "replace", by: list[str]
     match kind:
         case "csv":
             writer.option("header", True).csv(path)
-        case "json" | "jsonlines":
+        case "json":
+            _document(df).write.mode(MODES[mode]).text(path)
+        case "jsonlines":
             writer.json(path)
         case "text" | "lines":
             writer.text(path)
@@ -111,6 +117,28 @@ def target(rel: Rel, path: str, kind: str, mode: str = "replace", by: list[str]
 sink = target
 
 
+def _document(df: DataFrame) -> DataFrame:
+    """All rows as one JSON array, a line each: one document is one file, so one task writes it, batch by batch."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            found = b.column(0).to_pylist()
+            if found:
+                done = [] if last is None else [last]
+                first = "[" if last is None else ""
+                done += found[:-1]
+                if done:
+                    yield pa.RecordBatch.from_pydict({"value": [f"{first if i == 0 else ''}{x}," for i, x in enumerate(done)]})
+                    last = found[-1]
+                else:
+                    last = first + found[-1]
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if last is None else f"{last}]"]})
+
+    rows = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    return rows.coalesce(1).mapInArrow(lines, "value string")
+
+
 def _plain(text: str) -> Iterator[dict[str, str | None]]:
     """The flat subset of YAML: documents or list items of ``name: value``."""
     row: dict[str, str | None] = {}
@@ -152,6 +180,12 @@ def table(spark: SparkSession, name: str) -> Rel:
     return Rel(spark.table(name))
 
 
+def table_target(rel: Rel, name: str, mode: str = "replace", kind: str = "parquet", by: list[str] | None = None) -> None:
+    """Rows into a table of the catalog."""
+    writer = rel.df.write.mode(MODES[mode]).format(kind)
+    (writer.partitionBy(*by) if by else writer).saveAsTable(name)
+
+
 def jdbc(spark: SparkSession, url_env: str, name: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 1) -> Rel:
     """A database table; its url comes from the environment (the driver's jar must be on the class path)."""
     reader = spark.read.format("jdbc").option("url", os.environ[url_env]).option("dbtable", name)
@@ -160,6 +194,12 @@ def jdbc(spark: SparkSession, url_env: str, name: str, column: str | None = None
     return Rel(reader.load())
 
 
+def jdbc_target(rel: Rel, url_env: str, name: str, mode: str = "append", parts: int | None = None, batch: int = 500) -> None:
+    """Rows into a database table, ``batch`` a statement, by at most ``parts`` connections at once."""
+    writer = rel.raw.select(*rel.columns).write.mode(MODES[mode]).format("jdbc").option("url", os.environ[url_env]).option("dbtable", name).option("batchsize", batch)
+    (writer.option("numPartitions", parts) if parts else writer).save()
+
+
 # rows changed in place: a staged rewrite, for stores without row-level statements
 
 
@@ -181,26 +221,70 @@ class Rollback(Exception):
     reason: str
 
 
+def _state(disk, path) -> tuple:
+    """What a folder of files holds: equal before and after if nothing wrote to it."""
+    found, files = [], disk.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def _moved(disk, source, to) -> bool:
+    """A rename that says whether it happened."""
+    try:
+        return disk.rename(source, to)
+    except Py4JJavaError:
+        return False
+
+
 def transaction(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], attempts: int = 3) -> dict[str, object]:
-    """Read a Parquet table, stage the changed one beside it, and swap by two renames; a failure leaves the old."""
+    """Read a Parquet table, stage the changed one beside it, and swap by two renames under a lock file.
+
+    If the table was written to since it was read, or another transaction holds the lock, the change
+    is tried again on the new table. A failed swap puts the old table back, and a failure leaves no staged files.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    error: Exception | None = None
-    for attempt in range(attempts):
-        staged, old = f"{path}.staged-{attempt}", f"{path}.old"
+    disk, here, lock = at(path).getFileSystem(conf), at(path), at(f"{path}.lock")
+    old, error = at(f"{path}.old"), "the table kept changing"
+    for _ in range(attempts):
+        staged = at(f"{path}.staged-{uuid.uuid4().hex[:12]}")
+        before = _state(disk, here)
         try:
-            change(spark.read.parquet(path)).write.mode("overwrite").parquet(staged)
+            spark.catalog.refreshByPath(path)
+            change(spark.read.parquet(path)).write.mode("overwrite").parquet(staged.toString())
         except Rollback as e:
+            disk.delete(staged, True)
             return {"is_ok": False, "err": e.reason}
         except Exception as e:  # noqa: BLE001
-            error = e
+            disk.delete(staged, True)
+            error = str(e)
             continue
-        disk = at(path).getFileSystem(conf)
-        disk.delete(at(old), True)
-        if disk.rename(at(path), at(old)) and disk.rename(at(staged), at(path)):
-            disk.delete(at(old), True)
+        if not disk.createNewFile(lock):
+            disk.delete(staged, True)
+            error = "another transaction holds the lock"
+            time.sleep(0.2)
+            continue
+        try:
+            if _state(disk, here) != before:
+                error = "the table changed since it was read"
+                continue
+            disk.delete(old, True)
+            if not _moved(disk, here, old):
+                error = "the table could not be moved"
+                continue
+            if not _moved(disk, staged, here):
+                _moved(disk, old, here)
+                error = "the changed table could not be moved"
+                continue
+            disk.delete(old, True)
+            spark.catalog.refreshByPath(path)
             return {"is_ok": True, "err": None}
-    return {"is_ok": False, "err": str(error)}
+        finally:
+            disk.delete(staged, True)
+            disk.delete(lock, True)
+    return {"is_ok": False, "err": error}
 
 
 # paths and folders
@@ -243,3 +327,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def variable(name: str) -> str | None:
     return os.environ.get(name)
+
+
+def variables() -> dict[str, str]:
+    return dict(os.environ)
+
+
+def arguments() -> list[str]:
+    return sys.argv[1:]
+
+
+def argument(i: int) -> str | None:
+    found = arguments()
+    return found[i] if -len(found) <= i < len(found) else None
+
+
+def working_dir() -> str:
+    return os.getcwd()
+
+
+def source_dir(module: str) -> str:
+    """The folder of a module's own file, as ``__file__`` names it."""
+    return os.path.dirname(os.path.abspath(module))

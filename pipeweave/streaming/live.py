@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,26 @@ def kafka(spark: SparkSession, servers: str, topic: str, start: str = "earliest"
     return Rel(raw.select("value", "partition", "offset", "key", "timestamp", "headers"))
 
 
+def kafka_sink(rel: Rel, servers: str, topic: str, value: Column, checkpoint: str, key: Column | None = None, once: bool = True) -> StreamingQuery:
+    """Rows as messages of a topic, at least once each (the connector's package must be on the class path)."""
+    columns = [value.cast("string").alias("value"), *([] if key is None else [key.cast("string").alias("key")])]
+    writer = rel.raw.select(*columns).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def join_table(rel: Rel, table: DataFrame, on: list[str], how: str = "inner") -> Rel:
+    """A stream with a table beside it: each event meets the table's rows as they are when its micro-batch runs. ``how``: inner, left or left_semi."""
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(f"a stream cannot be the optional side of a {how} join")
+    return Rel(rel.raw.join(table, on, how))
+
+
+def sessions(rel: Rel, time: str, gap: str, late: str, by: list[str], **named: Column) -> DataFrame:
+    """Session windows with a watermark: events of a key no further apart than ``gap``."""
+    stream = rel.raw.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return stream.groupBy(F.session_window(time, gap), *by).agg(*[c.alias(n) for n, c in named.items()])
+
+
 def socket(spark: SparkSession, host: str, port: int) -> Rel:
     return Rel(spark.readStream.format("socket").option("host", host).option("port", port).load())
 
@@ -50,10 +71,11 @@ def sink_parquet(rel: Rel, path: str, checkpoint: str, once: bool = True) -> Str
 
 
 def batches(rel: Rel, n: int, item: Column, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Lists of n in the batch's order; the last of each micro-batch may be short."""
+    """Lists of n in order of arrival; the last of each micro-batch may be short."""
 
     def cut(batch: DataFrame, number: int) -> None:
-        write(Rel.of(batch, *batch.columns).collect(n, item).df, number)
+        arrived = batch.withColumn("__arrival", F.monotonically_increasing_id())
+        write(Rel.of(arrived, "__arrival").map(*batch.columns).collect(n, item).df, number)
 
     return sink(rel, cut, checkpoint)
 
@@ -70,16 +92,29 @@ def route(rel: Rel, result: str, good: Callable[[DataFrame], None], bad: Callabl
     return sink(rel, split, checkpoint)
 
 
-def take(rel: Rel, n: int, checkpoint: str) -> list:
-    """The first n rows, then the stream is stopped."""
+def take(rel: Rel, n: int, checkpoint: str, wait: bool = False) -> list:
+    """The first n rows; then the stream is stopped and later input is not read.
+
+    Fewer come if the input at hand ends before; ``wait`` goes on until n rows have come.
+    """
     got: list = []
+    enough = threading.Event()
 
     def add(batch: DataFrame, _: int) -> None:
-        if len(got) < n:
+        if not enough.is_set():
             got.extend(batch.limit(n - len(got)).collect())
-
-    query = sink(rel, add, checkpoint)
-    query.awaitTermination()
+            if len(got) >= n:
+                enough.set()
+
+    if n <= 0:
+        return got
+    query = sink(rel, add, checkpoint, once=not wait)
+    while not enough.wait(0.05) and query.isActive:
+        pass
+    error = None if enough.is_set() else query.exception()
+    query.stop()
+    if error is not None:
+        raise error
     return got
 
 
