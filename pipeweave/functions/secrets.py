@@ -1,4 +1,4 @@
-"""Keyed digests, password hashes and AES-GCM as Columns. Asymmetric keys are outside the engine."""
+"""Keyed digests, password hashes and AES-GCM as Columns. Asymmetric keys are in ``keys``."""
 
 from __future__ import annotations
 

@@ -205,3 +205,17 @@ def now() -> Column:
 
 def today(zone: str | None = None) -> Column:
     return at(F.current_timestamp(), zone).cast("date") if zone else F.current_date()
+
+
+def zone(name: str) -> str:
+    """A time zone's name, checked."""
+    import zoneinfo
+
+    if name not in zoneinfo.available_timezones():
+        raise ValueError(f"no time zone {name}")
+    return name
+
+
+def local_zone() -> Column:
+    """The session's time zone."""
+    return F.current_timezone()

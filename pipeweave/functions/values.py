@@ -151,6 +151,18 @@ def map_of(keys: Column, values: Column) -> Column:
     return F.map_from_arrays(keys, values)
 
 
+def ordered_map(keys: Column, values: Column) -> Column:
+    """Entries in order of construction, as a list, since a map promises none; a key that comes again is an error."""
+    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+    pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
+    pairs = F.transform(pairs, lambda e: F.struct(e.getField("key").alias("key"), e.getField("value").alias("value")))
+    return F.when(repeated, F.raise_error(F.lit("a key comes twice"))).otherwise(pairs)
+
+
+def ordered_get(m: Column, key: object) -> Column:
+    return F.get(F.filter(m, lambda e: e.getField("key") == F.lit(key)), F.lit(0)).getField("value")
+
+
 def sorted_map(m: Column) -> Column:
     return F.array_sort(F.map_entries(m))
 
