@@ -148,7 +148,7 @@ def lines(s: Column) -> Column:
 
 
 def words(s: Column) -> Column:
-    return F.filter(F.split(trim(s), r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(s, r"(?U)\s+"), lambda x: x != "")
 
 
 def reverse(s: Column) -> Column:

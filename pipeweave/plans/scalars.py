@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pipeweave.functions import graph, numbers, text, times, udf, values
 from pipeweave.operators import aggregates as A
+from pipeweave.operators.group import quantiles_by_rank
 from pipeweave.operators.rel import Rel
 from pipeweave.plans.registered import dec, query
 
@@ -204,6 +205,12 @@ def q_list_functions(t):
     return t.orders.select("o_orderkey", add(F.transform(pairs, lambda p: p.first * p.second)).alias("zipped"), add(F.transform(numbered, lambda p: p.first * p.second)).alias("numbered"), F.size(values.list_distinct(xs)).cast("bigint").alias("kinds"), add(values.list_slice(xs, 1, -1)).alias("middle"), add(F.flatten(values.list_windows(xs, 2))).alias("windows"), add(values.list_range(6, 0, -2)).cast("int").alias("stepped"))
 
 
+@query("""SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, round(max(l_extendedprice), 4) AS most FROM lineitem GROUP BY ALL""")
+def q_quantiles_by_rank(t):
+    out = quantiles_by_rank(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.5, 0.1, 0.99, 1.0])
+    return out.select("l_returnflag", "l_linestatus", *[dec(F.get("quantiles", F.lit(i))).alias(n) for i, n in enumerate(("median", "p10", "p99", "most"))])
+
+
 # ---- folds by named combiners, user operations, graphs
 
 
