@@ -56,9 +56,10 @@ def positions(df: DataFrame, order: Sequence[Key], name: str = POSITION) -> Data
 
 
 class Rel:
-    def __init__(self, df: DataFrame, order: Sequence[Key] = ()):
+    def __init__(self, df: DataFrame, order: Sequence[Key] = (), unique: bool = False):
         self.raw = df
         self.order = Comparison(order)
+        self.unique = unique  # a set: no row comes twice, whatever it is mapped to
 
     # construction and observation
 
@@ -94,7 +95,11 @@ class Rel:
             raise Unbounded(f"{step} needs a finite input, and a stream may not end; bound it first with take(n), or work in batches")
 
     def _keep(self, df: DataFrame) -> Rel:
-        return Rel(df, self.order)
+        return Rel(df, self.order, self.unique)
+
+    def as_set(self) -> Rel:
+        """The rows as a set: each once, in no order. Filters and maps of a set are sets; sorting it gives a sequence."""
+        return Rel(self.raw.select(*self.columns).dropDuplicates(), unique=True)
 
     def pipe(self, step: Callable, *args, **kwargs):
         return step(self, *args, **kwargs)
@@ -106,8 +111,9 @@ class Rel:
         return self._keep(self.raw.where(by))
 
     def map(self, *exprs: Column | str, **named: Column) -> Rel:
-        """New columns for each row."""
-        return self._keep(self.raw.select(*exprs, *[c.alias(n) for n, c in named.items()], *self.hidden))
+        """New columns for each row; of a set, its image."""
+        out = self._keep(self.raw.select(*exprs, *[c.alias(n) for n, c in named.items()], *self.hidden))
+        return out.as_set() if self.unique else out
 
     def extend(self, **named: Column) -> Rel:
         return self._keep(self.raw.withColumns(named))
@@ -153,7 +159,7 @@ class Rel:
         if self.raw.isStreaming:
             return self._keep(self.raw.limit(n))
         by = [k.sorted() for k in self.order] or [F.col(c) for c in self.columns]
-        return self._keep(self.raw.orderBy(*by).limit(n))
+        return Rel(self.raw.orderBy(*by).limit(n), self.order or keys(*self.columns))
 
     def drop(self, n: int) -> Rel:
         self.finite("drop")
@@ -286,13 +292,13 @@ class Rel:
         return Rel(out, [Key(F.col(f"{HIDDEN}{i}")) for i in range(width + 1)])
 
     def union(self, other: Rel) -> Rel:
-        return Rel(self.raw.select(*self.columns).unionByName(other.raw.select(*other.columns)).dropDuplicates())
+        return Rel(self.raw.select(*self.columns).unionByName(other.raw.select(*other.columns)).dropDuplicates(), unique=True)
 
     def intersection(self, other: Rel) -> Rel:
-        return Rel(self.raw.select(*self.columns).intersect(other.raw.select(*self.columns)))
+        return Rel(self.raw.select(*self.columns).intersect(other.raw.select(*self.columns)), unique=True)
 
     def difference(self, other: Rel) -> Rel:
-        return Rel(self.raw.select(*self.columns).subtract(other.raw.select(*self.columns)))
+        return Rel(self.raw.select(*self.columns).subtract(other.raw.select(*self.columns)), unique=True)
 
     def merge(self, other: Rel) -> Rel:
         """One row from each in turn, then what is left."""

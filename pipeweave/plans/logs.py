@@ -7,6 +7,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+# The levels in their order.
 LEVELS = ("trace", "debug", "info", "warn", "error")
 
 

@@ -167,6 +167,11 @@ def q_find_one(t):
     return first.join(F.broadcast(Rel(t.events).partition("user_id").filter("value > 50").agg(n=A.size())))
 
 
+@query("SELECT DISTINCT l_linenumber % 3 AS third, l_returnflag FROM lineitem")
+def q_set_image(t):
+    return Rel(t.lineitem.select("l_linenumber", "l_returnflag", "l_linestatus")).as_set().map("l_returnflag", third=F.col("l_linenumber") % 3).df
+
+
 # ---- lists, maps
 
 

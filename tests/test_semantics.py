@@ -80,6 +80,16 @@ def test_positions(spark):
         s.one().df.collect()
 
 
+def test_a_set_maps_to_its_image(spark):
+    s = Rel(spark.createDataFrame([(1,), (2,), (3,), (3,)], "n long")).as_set()
+    image = s.filter("n > 0").map(m=F.col("n") % 2)
+    assert s.raw.count() == 3 and image.unique and sorted(xs(image)) == [0, 1]
+    assert seq(spark, [1, 2, 3]).map(m=F.col("x") % 2).df.count() == 3
+    taken = s.take(2)
+    assert not taken.unique and xs(taken) == [1, 2] and taken.map(m=F.lit(1)).raw.count() == 2
+    assert s.union(Rel(spark.range(3).select(F.col("id").alias("n")))).map(m=F.col("n") * 0).raw.count() == 1
+
+
 def test_split_invariance(spark):
     df = spark.range(1000).withColumn("x", F.col("id") % 7)
     for n in (1, 3, 16):
