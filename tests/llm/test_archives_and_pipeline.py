@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pipeweave.llm import langid, neardup, warc
+from pipeweave.llm import langid, mixing, neardup, quality, stages, warc
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -63,6 +64,80 @@ def test_pages_without_and_with_repeated_ids(spark):
     assert found == sorted([(0, y, "response", 0), (0, digest(""), "response", 0), (4, y, "revisit", 8), (4, w, "response", 0), (4, w, "response", 0), (8, y, "response", 0)])
 
 
+def test_very_long_pages_and_a_named_folder(spark, tmp_path):
+    long = "é<p>" * 3_000_000  # 15 MB, more than an archive holds
+    df = spark.createDataFrame([(1, "http://a", long), (2, "http://b", long + "x"), (3, "http://c", long)], "page_id long, url string, html string")
+    out = warc.write_archives(df, folder=str(tmp_path / "kept"))
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(out).collect()}
+    assert got == {1: (15_000_000, "revisit", 3), 2: (15_000_001, "response", None), 3: (15_000_000, "response", None)}
+    assert {r.path for r in out.collect()} == {str(x) for x in (tmp_path / "kept").glob("*.warc.gz")}
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_alone_with_odd_and_no_rows(spark, docs, odd, none, stage):
+    sf = "/root/testdata/sf0.01"
+    rows = odd.unionByName(docs.limit(300).withColumn("doc_id", F.col("doc_id") + 1000), allowMissingColumns=True)
+    out = stage(spark, rows, sf)
+    last = stage is corpus_pipeline.encode
+    assert out.columns == (["doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "decoded", "samples"] if last else rows.columns)
+    found = out.collect()
+    ids = [r.doc_id for r in found if r.doc_id is None or r.doc_id < 1000]
+    assert 0 < len(found) <= rows.count() and set(ids) <= {None, *range(1, 9)}
+    if stage is corpus_pipeline.language_id:
+        assert not {1, 2, 3, 4} & set(ids)
+    if stage is corpus_pipeline.near_dedup:
+        assert 7 not in ids and ids.count(6) == 2 and {1, 2, 3, None} <= set(ids)
+    if last:
+        assert len(found) == rows.count() and {r.doc_id: r.n_tokens for r in found}[1] == 0
+    assert stage(spark, none, sf).count() == 0
+
+
+def brute_kept(rows):
+    """One document of each near-duplicate group, the one with the smallest id."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            p, q = sets[a], sets[b]
+            both = len(p & q)
+            if both and 100 * both >= 75 * (len(p) + len(q) - both):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in ids if top(i) == i}
+
+
+def test_stages_decide_as_their_parts_do(spark, docs, labels):
+    """Each stage keeps what a plain version of its decision keeps, on its own input."""
+    sf = "/root/testdata/sf0.01"
+    few = docs.limit(400)
+    texts = {r.doc_id: r for r in few.collect()}
+    model = langid.fit(few.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    names, vocabulary, ranks = model.arrays()
+    kept = set()
+    for i, r in texts.items():
+        gaps = langid.out_of_place(r.text, vocabulary, ranks, model)
+        letters = sum(unicodedata.category(c).startswith("L") for c in r.text or "")
+        if gaps is not None and gaps.min() <= stages.STRANGE + stages.SHORT / letters:
+            kept.add(i)
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, few, sf).collect()} == kept
+    view = quality.fit(few, labels)
+    score = lambda r: view.scores(quality.text_features(r.text)[None] / 255.0, quality.meta_features(r.text, r.source, r.lang, r.n_chars, view.sources, view.langs)[None] / 255.0)[0]
+    assert {r.doc_id for r in corpus_pipeline.quality_classifier(spark, few, sf).collect()} == {i for i, r in texts.items() if score(r) >= 0.5}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, few, sf).collect()} == brute_kept([(i, r.text) for i, r in texts.items()])
+    mixed = mixing.mix(few, budget=stages.BUDGET).where("selected")
+    assert {r.doc_id for r in corpus_pipeline.mix_sources(spark, few, sf).collect()} == {r.doc_id for r in mixed.collect()}
+
+
 def test_pipeline_stages(spark, docs):
     sf = "/root/testdata/sf0.01"
     kept = corpus_pipeline.language_id(spark, docs, sf)

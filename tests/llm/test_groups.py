@@ -224,6 +224,75 @@ def test_mixing_odd_rows(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_shares_and_draws_by_hand(spark, docs):
+    out = mixing.mix(docs, budget=0.3).collect()
+    cells = collections.defaultdict(lambda: [0, 0.0, set()])
+    for r in out:
+        c = cells[r.source, r.lang, r.topic]
+        c[0] += r.n_tokens
+        c[1] = r.weight
+        c[2].add(r.probability)
+    total = sum(c[0] for c in cells.values())
+    assert total == sum(len((r.text or "").encode().split()) for r in docs.collect())
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the level at which clipped shares spend the budget
+        level = (low + high) / 2
+        spent = sum(min(1.0, level * w / n) * n for n, w, _ in cells.values() if n)
+        low, high = (level, high) if spent < 0.3 * total else (low, level)
+    for n, w, p in cells.values():
+        assert len(p) == 1 and abs(p.pop() - (min(1.0, level * w / n) if n else 1.0)) < 1e-3
+    draw = {r.doc_id: r.d for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 50)) / F.lit(float(1 << 50))).alias("d")).collect()}
+    assert all(r.selected == (draw[r.doc_id] < r.probability) for r in out)
+
+
+def test_topics_are_the_nearest_centres(spark, docs):
+    rng = random.Random(2)
+    rows = [[rng.random() for _ in mixing.FEATURES] for _ in range(200)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "n long, " + ", ".join(f"{f} double" for f in mixing.FEATURES))
+    centres = [tuple(rng.random() for _ in mixing.FEATURES) for _ in range(5)]
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    got = [r.i for r in df.select("*", mixing.nearest(centres).alias("i")).collect()]
+    assert got == [min(range(5), key=lambda i: (gap(r, centres[i]), i)) for r in rows]
+    learned = mixing.learned_centres(df, 4, 3)
+    centres = mixing.first_centres(sorted(map(tuple, rows)), 4)
+    assert len(learned) == 4 and sum(min(gap(r, c) for c in learned) for r in rows) < sum(min(gap(r, c) for c in centres) for r in rows)
+    shape = lambda n: {r.doc_id: (r.topic, r.selected) for r in mixing.mix(docs.repartition(n)).collect()}
+    assert shape(1) == shape(9)
+
+
+def test_targets_out_of_reach_are_told(spark, docs):
+    goal = spark.createDataFrame([("en", 0.5), ("tlh", 0.5)], "value string, share double")
+    with pytest.warns(UserWarning, match="raking left"):
+        out = mixing.mix(docs.withColumn("__w", F.lit(1)), targets={"lang": goal})
+    assert out.first().gap > 0.4 and "__w" in out.columns
+
+
+def test_planted_pairs_just_above_the_limit(spark):
+    """Recall where it is hardest: 3,000 pairs of similarity 0.75 to 0.80, and as many just below that must not link."""
+    rng = random.Random(11)
+    rows, linked_pairs = [], 0
+    for k in range(3000):
+        n = rng.randint(40, 120)
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(n)]
+        other = list(words)
+        # one changed word inside takes 5 shingles of either set
+        for at in rng.sample(range(6, n - 6), rng.choice((1, 2))):
+            other[at] = f"y{k}x{at}"
+        cut = rng.randint(0, n // 8)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other[cut:]))]
+    near = {}
+    for (a, s), (b, t) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = s.split(), t.split()
+        p, q = ({tuple(z[i : i + 5]) for i in range(len(z) - 4)} for z in (x, y))
+        near[a, b] = len(p & q) / len(p | q)
+    hard = {pair for pair, j in near.items() if 0.75 <= j < 0.80}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(hard) > 200 and sum(0.70 <= j < 0.75 for j in near.values()) > 200
+    missed = [pair for pair in hard if got[pair[1]] != got[pair[0]]]
+    assert len(missed) <= 0.002 * len(hard)
+    assert all((got[b] == got[a]) == (100 * j >= 75) for (a, b), j in near.items() if j < 0.75 or j >= 0.80)
+
+
 def brute_top(rows, k, every):
     v = {i: [math.floor(y * 256) for y in x] for i, x in rows}
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
