@@ -69,7 +69,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every text, and which documents the rules keep."""
     out = rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly", "rule")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly", "rule", "band")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

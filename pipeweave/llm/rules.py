@@ -3,13 +3,14 @@
 Each text gets counts (words, symbols, duplicate lines, words in repeated 5-word windows, ...).
 Two fixed limits decide ``base_failed``. The forest isolates documents by random splits of the
 statistics' ratios: the fewer splits a document needs, the more unusual it is. Being unusual is
-no fault in itself, so the score above which a document is dropped is set for each rule (the
-statistic that stands out in it) from all labelled rows: the lowest score, ``USUAL`` at least, at
-which rows labelled bad outnumber good ones and above which the rule loses no more than ``lost``
-of all rows labelled good. A rule whose bad rows nowhere outnumber its good ones drops nothing.
+no fault in itself, so the score above which a document is dropped is set for each band (the
+statistic that stands out in it, and its rate to the power of ten) from all labelled rows: the lowest score, ``USUAL`` at least, at
+which rows labelled bad outnumber good ones and above which the band loses no more than ``lost``
+of all rows labelled good. A band whose bad rows nowhere outnumber its good ones drops nothing, so one odd sign in a
+long text is not judged by texts full of them.
 
 Defined results: null, empty and wordless texts have all counts 0 and fail the base limits;
-without rows labelled good nothing is dropped by the forest, nor by a rule without rows labelled bad; repeated rows get equal results;
+without rows labelled good nothing is dropped by the forest, nor in a band without rows labelled bad; repeated rows get equal results;
 texts are read whole; an empty table gives an empty result; existing columns named like the
 added ones are replaced.
 """
@@ -177,15 +178,19 @@ def with_anomaly(counted: DataFrame, forest: Forest | None) -> DataFrame:
     return counted.withColumn("anomaly", isolate(*COUNTS))
 
 
-def leading_rule() -> Column:
-    """The rule whose rate is highest in a row: symbols, repeats, capitals, marks, or none."""
+def _rates() -> dict[str, Column]:
     w, c = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    rates = {
+    return {
         "symbols": F.col("n_symbols") / w,
         "repeats": F.greatest(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), F.col("n_repeat_words") / w),
         "capitals": (F.col("n_upper") - F.col("n_lines") - F.col("n_marks")) / c - F.lit(0.1),
         "marks": F.col("n_marks") / w,
     }
+
+
+def leading_rule() -> Column:
+    """The rule whose rate is highest in a row: symbols, repeats, capitals, marks, or none."""
+    rates = _rates()
     top = F.greatest(*rates.values())
     rule = F.lit("none")
     for name, rate in rates.items():
@@ -193,14 +198,21 @@ def leading_rule() -> Column:
     return rule
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", lost: float = 0.0005, bins: int = 2000) -> dict[str, float]:
-    """For each rule the lowest anomaly, ``USUAL`` at least, in whose bin rows labelled bad outnumber good ones
+def band() -> Column:
+    """The leading rule with the power of ten that its rate reaches, such as ``symbols 1e-1``; ``none`` without one."""
+    top = F.greatest(*_rates().values())
+    power = F.floor(F.log10(F.least(F.lit(1.0), F.greatest(F.lit(1e-6), top)))).cast("string")
+    return F.when(top > 0, F.concat(leading_rule(), F.lit(" 1e"), power)).otherwise(F.lit("none"))
+
+
+def thresholds(scored: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", lost: float = 0.0005, bins: int = 2000, by: str = "rule") -> dict[str, float]:
+    """For each value of ``by`` the lowest anomaly, ``USUAL`` at least, in whose bin rows labelled bad outnumber good ones
     and from which on it drops no more than ``lost`` of all rows labelled good that pass the base limits.
-    Rules without such a bin are left out.
+    Values without such a bin are left out.
 
-    All labelled rows count: a histogram of (rule, bin) comes to the driver.
+    All labelled rows count: a histogram of (value, bin) comes to the driver.
     """
-    small = scored.where(~F.col("base_failed")).select(F.col(key).alias("__key"), "rule", F.floor(F.col("anomaly") * bins).cast("int").alias("bin"))
+    small = scored.where(~F.col("base_failed")).select(F.col(key).alias("__key"), F.col(by).alias("rule"), F.floor(F.col("anomaly") * bins).cast("int").alias("bin"))
     marks = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).alias("y"))
     found = small.join(marks, "__key").groupBy("rule", "bin").agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad")).collect()
     total = sum(r["good"] for r in found)
@@ -218,15 +230,15 @@ def thresholds(scored: DataFrame, labels: DataFrame, *, key: str = "doc_id", lab
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lost: float = 0.0005) -> DataFrame:
-    """``key``, the counts, ``base_failed``, ``rule``, ``anomaly`` and ``kept`` for every row of ``docs``.
+    """``key``, the counts, ``base_failed``, ``rule``, ``band``, ``anomaly`` and ``kept`` for every row of ``docs``.
 
     The texts are read once; counts go to the shared folder as a small table.
     """
     space = Workspace(docs.sparkSession, "rules")
     counted = space.save(with_counts(docs.select(key, text), text=text).drop(text), "counts")
-    scored = space.save(with_anomaly(counted, fit_forest(counted, key=key)).withColumn("rule", leading_rule()), "scored")
+    scored = space.save(with_anomaly(counted, fit_forest(counted, key=key)).withColumns({"rule": leading_rule(), "band": band()}), "scored")
     space.keep("scored")
     limit = F.lit(float("inf"))
-    for rule, at in thresholds(scored, labels, key=key, lost=lost).items():
-        limit = F.when(F.col("rule") == rule, F.lit(at)).otherwise(limit)
+    for value, at in thresholds(scored, labels, key=key, lost=lost, by="band").items():
+        limit = F.when(F.col("band") == value, F.lit(at)).otherwise(limit)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < limit))

@@ -306,15 +306,28 @@ def test_verdict_by_hand(spark, docs, labels):
     assert {i for i in ids if not got[i].base_failed} == set(sound)
     good = [i for i in sound if marks.get(i) == 1]
     limit = {}
-    for rule in {got[i].rule for i in sound}:
-        mine = [i for i in sound if got[i].rule == rule and marks.get(i) is not None]
+    for i in sound:
+        r = got[i]
+        rates = {"symbols": r.n_symbols / r.n_words, "repeats": max(r.n_dup_lines / r.n_lines, r.n_repeat_words / r.n_words), "capitals": (r.n_upper - r.n_lines - r.n_marks) / r.word_chars - 0.1, "marks": r.n_marks / r.n_words}
+        top = max(rates.values())
+        assert r.band == (f"{r.rule} 1e{math.floor(math.log10(min(1.0, top)))}" if top > 0 else "none") and (top <= 0 or rates[r.rule] == top)
+    for value in {got[i].band for i in sound}:
+        mine = [i for i in sound if got[i].band == value and marks.get(i) is not None]
         cell = lambda i: int(math.floor(got[i].anomaly * 2000))
         for b in range(1000, 2001):
             here = [marks[i] for i in mine if cell(i) == b]
             if here.count(0) > here.count(1) and sum(marks[i] == 1 for i in mine if cell(i) >= b) <= 0.0005 * len(good):
-                limit[rule] = b / 2000
+                limit[value] = b / 2000
                 break
-    assert limit and all(got[i].kept == (i in set(sound) and got[i].anomaly < limit.get(got[i].rule, math.inf)) for i in ids)
+    assert limit and all(got[i].kept == (i in set(sound) and got[i].anomaly < limit.get(got[i].band, math.inf)) for i in ids)
+
+
+def test_many_clean_documents_with_one_symbol_stay(spark, docs, labels):
+    out = registry.op8_rules(spark, SF)
+    clean = out.join(labels, "doc_id").where("quality = 1 and kept and n_symbols = 0 and rule = 'none' and n_words > 200").select("doc_id")
+    more = docs.join(clean, "doc_id").withColumns({"doc_id": -F.col("doc_id") - 1, "text": F.concat("text", F.lit(" #"))}).select(docs.columns)
+    got = rules.judged(docs.unionByName(more), labels).where("doc_id < 0")
+    assert got.count() > 100 and got.where("not kept").count() == 0
 
 
 def test_clean_document_with_one_symbol_stays(spark, docs, labels):
