@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import fresh, release_memory, slices
+from pipeweave.llm.common import fresh, release_memory, slices, small_batches
 
 ORDERS = 3
 PROFILE = 400
@@ -159,7 +159,9 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", size: int =
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     profiles: dict[str, list[tuple[int, int]]] = {}
-    for r in top.select("lang", "rank", "code").collect():
+    with small_batches(train.sparkSession):
+        found = top.select("lang", "rank", "code").collect()
+    for r in found:
         profiles.setdefault(r["lang"], []).append((r["rank"], r["code"]))
     return LanguageModel({k: np.array([c for _, c in sorted(v)], np.int64) for k, v in profiles.items()}, size, orders)
 
