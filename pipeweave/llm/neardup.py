@@ -9,10 +9,10 @@ full sets are compared. A link is confirmed on the full sets only.
 
 Three rounds keep pairs linear in the input: (1) in each band bucket, everyone against the
 bucket's smallest id; (2) everyone against a randomly chosen member, across components only;
-(3) what is left, members of one bucket in different components, in blocks of bounded size that
-compare all cross pairs not already connected. In buckets of several blocks the sketches alone are compared first, and only
-documents that some sketch of another component comes near take their sets to the blocks. Links become components by
-alternating star contraction.
+(3) what is left, members of one bucket in different components: their sketches alone are compared first, in piles, and
+documents that some sketch of another component comes near then take their sets to blocks of bounded size that
+compare all cross pairs not already connected. Links become components by alternating star contraction; later
+links contract the components that earlier ones gave.
 
 No join waits for one key: buckets and hubs (the documents many others are compared with) that hold more than 1 in 20,000
 rows are so few (640,000 at most, as each document has 32 bands) that what is joined to them is broadcast, or
@@ -43,8 +43,8 @@ WIDTH, SAMPLES, BANDS, BITS = 5, 128, 32, 256
 MOST_BITS = 92
 #: Shingles in one block of a bucket, about (2 MB); a task holds two blocks.
 BLOCK = 262_144
-#: Sketches in one block (5 MB with their bands) where only these are compared.
-SKETCHES = 16_384
+#: Sketches (48 bytes each) in a pile at least and at most, and the piles of a bucket from which on these grow.
+PILE, MOST_PILE, PILES = 512, 16_384, 32
 #: Rows of a bucket or hub up to which it is dealt like any other, at least; and its share of all classes, 1 in so many.
 CROWD, SHARE = 256, 20_000
 _FEATURES = "id long, n long, h1 long, h2 long, bands array<long>, sketch array<long>"
@@ -203,18 +203,15 @@ def _blocks(keys: tuple, table: pa.Table, percent: int) -> pa.Table:
 
 
 def _near(keys: tuple, table: pa.Table) -> pa.Table:
-    """One pair of sketch blocks of one bucket: the documents whose sketch comes near one of another component."""
-    bucket, band, first, second = (k.as_py() for k in keys)
-    own = table.column("block").to_numpy()
-    longs = lambda name, width: np.array(table.column(name).combine_chunks().flatten(), np.int64).view(np.uint64).reshape(-1, width)
-    comp, ids, bands, sketch = table.column("comp").to_numpy(), table.column("id").to_numpy(), longs("bands", BANDS), longs("sketch", 4)
+    """One pair of piles of one bucket: the documents whose sketch comes near one of another component."""
+    bucket, first, second = (k.as_py() for k in keys)
+    own, comp, ids = (table.column(c).to_numpy() for c in ("block", "comp", "id"))
+    sketch = np.array(table.column("sketch").combine_chunks().flatten(), np.int64).view(np.uint64).reshape(-1, 4)
     left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
     marked = np.zeros(len(ids), bool)
     for i in left.tolist():
-        near = (np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1) <= MOST_BITS) & (comp[right] != comp[i])
-        hits = right[near]
-        if band and len(hits):
-            hits = hits[~(bands[hits, :band] == bands[i, :band]).any(axis=1)]
+        other = right[comp[right] != comp[i]]
+        hits = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1) <= MOST_BITS]
         if len(hits):
             marked[i] = True
             marked[hits] = True
@@ -311,11 +308,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return with_a.select("a", "b", "x", "y").mapInArrow(lambda it: _confirmed(it, percent), "a long, b long")
 
     def settle(links: DataFrame, tag: str) -> DataFrame:
-        """All links so far, joined to the components that earlier rounds gave."""
+        """The components of all links so far: new links contract those that earlier rounds gave."""
         found = space.save(links, f"links-{tag}")
-        if label is not None:
-            found = found.unionByName(label.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        return space.save(components(found, space, f"stars-{tag}"), f"labels-{tag}")
+        if label is None:
+            return space.save(components(found, space, f"stars-{tag}"), f"labels-{tag}")
+        across = labelled(labelled(found, "a", "x"), "b", "y").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        across = space.save(across.distinct(), f"across-{tag}")
+        if across.isEmpty():
+            return label
+        more = space.save(components(across, space, f"stars-{tag}"), f"more-{tag}")
+        moved = label.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        return space.save(moved.unionByName(more.join(label.select("node"), "node", "left_anti")), f"labels-{tag}")
 
     def blocked(rows: DataFrame, blocks: DataFrame) -> DataFrame:
         """Each row once for each block pair of its bucket that its own block is in; ``blocks``: of each bucket, how many."""
@@ -332,23 +335,16 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     rest = labelled(larger.drop("comp"), "id", "comp")
     split = rest.groupBy("bucket").agg(F.first("size").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    known = classes.select("id", "n", "bands", "sketch").dropDuplicates(["id"])
-    rest = space.save(by_bucket(rest, split.select("bucket", "size")).join(known, "id"), "rest")
-
-    def weight(rows: DataFrame) -> DataFrame:
-        """Of each bucket, how many blocks of sets and of sketches its rows fill."""
-        number = lambda x, block: F.ceil(x / F.lit(float(block))).cast("int")
-        return rows.groupBy("bucket").agg(F.first("size").alias("size"), number(F.sum("n"), BLOCK).alias("blocks"), number(F.count(F.lit(1)), SKETCHES).alias("piles"))
-
-    weights = space.save(weight(rest), "weights")
-    wide = weights.where("blocks > 1")
-    sieve = blocked(rest, wide.select("bucket", "size", F.col("piles").alias("blocks"))).groupBy("bucket", "band", "one", "two")
+    rest = space.save(by_bucket(rest, split.select("bucket", "size")), "rest")
+    members = rest.groupBy("bucket", "size").agg(F.count(F.lit(1)).alias("m"))
+    piles = F.least(F.ceil(F.col("m") / F.lit(PILE)), F.greatest(F.lit(PILES), F.ceil(F.col("m") / F.lit(MOST_PILE))))
+    sieve = blocked(rest.join(sketches, "id"), space.save(members.select("bucket", "size", piles.cast("int").alias("blocks")), "piles"))
+    sieve = sieve.select("bucket", "one", "two", "block", "id", "comp", "sketch").groupBy("bucket", "one", "two")
     near = space.save(sieve.applyInArrow(_near, "bucket long, id long").distinct(), "near")
-    slim = by_bucket(rest, wide.select("bucket", "size")).join(near, ["bucket", "id"], "left_semi")
-    slim = space.save(slim.select(rest.columns), "slim")
-    every = by_bucket(rest, weights.where("blocks = 1").select("bucket", "size")).select(rest.columns).unionByName(slim)
-    weights = weights.where("blocks = 1").unionByName(weight(slim)).select("bucket", "size", "blocks")
-    spread = blocked(every, space.save(weights, "blocks")).join(sets, "id").groupBy("bucket", "band", "one", "two")
+    known = classes.select("id", "n", "bands", "sketch").dropDuplicates(["id"])
+    slim = space.save(rest.join(near, ["bucket", "id"], "left_semi").join(known, "id"), "slim")
+    weights = slim.groupBy("bucket", "size").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    spread = blocked(slim, space.save(weights, "weights")).join(sets, "id").groupBy("bucket", "band", "one", "two")
     label = settle(spread.applyInArrow(lambda k, t: _blocks(k, t, percent), "a long, b long"), "rest")
 
     reps = labelled(classes.select("h1", "h2", "id", F.col("copies").alias("n")), "id", "comp").drop("id")
