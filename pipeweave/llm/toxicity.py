@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import Workspace, fit_logistic, fresh, labelled_rows, slices
+from pipeweave.llm.common import Workspace, fit_logistic, fresh, labelled_rows, slices, small_batches
 
 WORD = re.compile(r"[^\W_]+")
 #: Labelled rows that the model is fitted on at most. Their texts bound the table of scores too.
@@ -106,6 +107,11 @@ class ToxicityModel:
     weights: tuple[float, ...] = ()
     known: dict[str, float] = field(default_factory=dict, compare=False, repr=False)
 
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        """The first letters of all that has a score: any other word has none."""
+        return frozenset(u.removesuffix(MARK)[: BEGINNINGS[-1]] for u in self.scores)
+
     def score_of(self, word: str) -> float:
         """The highest score of a word and its beginnings in the table; 0: none."""
         s = self.known.get(word)
@@ -117,11 +123,13 @@ class ToxicityModel:
 
     def candidates(self, found: list[str]) -> list[tuple[int, int, float]]:
         """The maximal segments of a text's words: first word, last word, score."""
-        known, score_of = self.known.get, self.score_of
+        known, score_of, heads, head = self.known.get, self.score_of, self.heads, BEGINNINGS[-1]
         hits: list[tuple[int, float]] = []
         worth: dict[str, float] = {}  # of the next occurrence in this passage
         total, after = 0.0, 0
         for i, w in enumerate(found):
+            if w[:head] not in heads:
+                continue
             s = known(w)
             if s is None:
                 s = score_of(w)
@@ -235,7 +243,7 @@ def scored_words(counts: DataFrame, prior: float, certainty: float, least: int,
         sure = odds(t, space_t) - odds(o, space_o) - certainty * F.sqrt(1 / (t + own) + 1 / (o + own))
         score.append(F.when((t >= least) & (F.col("kinds") >= KINDS), sure))
     rows = counts.select("word", *[s.alias(f"s{i}") for i, s in enumerate(score)]).where(F.greatest("s0", "s1", "s2") > floor).collect()
-    return [{r["word"]: r[f"s{i}"] for r in rows if (r[f"s{i}"] or 0) > floor} for i in range(3)]
+    return [{r["word"]: r[f"s{i}"] for r in rows if r[f"s{i}"] is not None and r[f"s{i}"] > floor} for i in range(3)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, prior: float = 0.05, certainty: float = 2.0, drift: float = 1.0, least: int = 3, floor: float = 0.25) -> ToxicityModel:
@@ -265,11 +273,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             for half, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found, model = words(t), two[1 - half]
                 n[0, 0] += len(found)
-                n.update((1, int(s / BIN)) for s in map(model.score_of, found) if s)
+                n.update((1, int(s / BIN)) for s in map(model.score_of, (w for w in found if w[: BEGINNINGS[-1]] in model.heads)) if s)
                 n.update((2, int(s / BIN)) for _, _, s in model.candidates(found))
         yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in n], pa.int32()), "bin": pa.array([at for _, at in n], pa.int64()), "n": pa.array(list(n.values()), pa.int64())})
 
-    counted = train.where(F.col("y") == 0).select("half", "text").mapInArrow(chance, "kind int, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()
+    with small_batches(spark):
+        counted = train.where(F.col("y") == 0).select("half", "text").mapInArrow(chance, "kind int, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()
     by_kind = {k: {r["bin"]: r["n"] for r in counted if r["kind"] == k} for k in (0, 1, 2)}
     n_words = by_kind[0].get(0, 0)
     hits = np.array(sorted(by_kind[1].items()), np.float64).reshape(-1, 2)
@@ -283,7 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             marks = [two[1 - half].features(t)[1] for half, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"y": b.column(0).cast(pa.int32()), "best": pa.array([r[0] for r in marks], pa.float64()), "all": pa.array([r[1] for r in marks], pa.float64())})
 
-    seen = train.mapInArrow(measure, "y int, best double, all double").collect()
+    with small_batches(spark):
+        seen = train.mapInArrow(measure, "y int, best double, all double").collect()
     space.keep()
     x, y = np.array([[r["best"], r["all"]] for r in seen]).reshape(-1, 2), np.array([float(bool(r["y"])) for r in seen])
     if len(np.unique(y)) < 2:
