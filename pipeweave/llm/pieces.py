@@ -29,11 +29,13 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import reduce
+from itertools import chain, repeat
 from random import Random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,8 @@ UNIT = re.compile("▁*[^▁]+|▁+")
 CHUNK = 4_000_000
 #: Characters in a unit up to which plain sums are safe at any usual alpha.
 PLAIN = 24
+#: Units that occur twice or more in a run of texts whose tokens and lattice a task remembers, at most.
+KEPT = 60_000
 _MODELS: dict[tuple[str, float], Vocabulary] = {}
 
 
@@ -66,6 +70,18 @@ class Lattices:
     token: np.ndarray  # of a kind: token id, or -1 - entry of byte_ids
     byte_ids: list[tuple[int, ...]]
 
+    def followed_by(self, other: Lattices) -> Lattices:
+        """Both lattices end to end: the units of ``other`` are numbered on."""
+        nodes, edges, pieces = len(self.beta) - 1, len(self.kind), len(self.size) - len(self.byte_ids)
+        kind = np.where(other.kind >= pieces, other.kind + np.int32(len(self.byte_ids)), other.kind)
+        byte_ids = self.byte_ids + other.byte_ids
+        both = lambda a, b: np.concatenate([a, b[pieces:]])
+        token = np.concatenate([self.token[:pieces], -1 - np.arange(len(byte_ids), dtype=np.int32)])
+        return Lattices(
+            np.concatenate([self.start, other.start + nodes]), np.concatenate([self.first[:nodes], other.first + np.int32(edges)]), np.concatenate([self.kind, kind]),
+            np.concatenate([self.beta[:nodes], other.beta]), both(self.size, other.size), both(self.weight, other.weight), token, byte_ids,
+        )
+
     def end(self, node: int, edge: int) -> int:
         return node + int(self.size[self.kind[edge]])
 
@@ -127,6 +143,9 @@ class Vocabulary:
         self.octets = np.array([len(x) for x in spelt], np.int64)
         self.octet_start = np.cumsum(self.octets) - self.octets
         self.octet_text = np.frombuffer(b"".join(spelt), np.uint8)
+        self.kept: dict[str, int] = {}
+        self.kept_sizes, self.kept_tokens = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.kept_lattices: Lattices | None = None
 
     def _slots(self) -> tuple[np.ndarray, np.ndarray]:
         """A hash table with two places for each key, at most a quarter full."""
@@ -190,6 +209,32 @@ class Vocabulary:
             if lifted is not None:
                 lat.beta[node] = np.log(value) - self.lift * (size[: longer[r]] - r)
 
+    def tokens_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's tokens of units: how many of each, and all end to end."""
+        coded = self.sp.encode([u.replace(SPACE, " ") for u in units], num_threads=1)
+        for i in [i for i, u in enumerate(units) if not u]:
+            coded[i] = [self.sp.piece_to_id(SPACE)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return sizes, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
+
+    def keep(self, units: list[str], times: np.ndarray) -> None:
+        """Remember the units met twice or more, while there is room."""
+        known = len(self.kept)
+        new = [units[i] for i in (np.flatnonzero(times[known:] > 1) + known)[: KEPT - known].tolist()]
+        if not new:
+            return
+        sizes, tokens = self.tokens_of(new)
+        lattices = self.lattices(new)
+        self.kept.update(zip(new, range(known, known + len(new)), strict=True))
+        self.kept_sizes, self.kept_tokens = np.concatenate([self.kept_sizes, sizes]), np.concatenate([self.kept_tokens, tokens])
+        self.kept_lattices = lattices if self.kept_lattices is None else self.kept_lattices.followed_by(lattices)
+
+    def lattices_of(self, units: list[str]) -> Lattices:
+        """The lattices of units that begin with the remembered ones."""
+        if self.kept_lattices is None:
+            return self.lattices(units)
+        return self.kept_lattices.followed_by(self.lattices(units[len(self.kept) :]))
+
     def lattices(self, units: list[str]) -> Lattices:
         units = [SPACE + u for u in units]
         lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -380,14 +425,19 @@ def _rest_values(log_prob: np.ndarray, since: int, cap: float, exponential: np.n
     """The perturbed value of "agrees before unit i, departs in unit i", for units from ``since`` on."""
     out = np.full(len(log_prob), -np.inf)
     own = log_prob[since:]
-    with np.errstate(divide="ignore"):
-        rest = np.log(-np.expm1(np.minimum(own, 0.0)))
-    rest[own > -1e-12] = -np.inf  # a unit with one segmentation
     prefix = np.cumsum(log_prob)[since:] - own
-    out[since:] = -np.logaddexp(-cap, np.log(exponential) - (prefix + rest))
+    out[since:] = -np.logaddexp(-cap, np.log(exponential) - (prefix + _rest_of(own)))
     return out
 
 
+def _rest_of(log_prob: np.ndarray) -> np.ndarray:
+    """Log of the probability that a unit departs from its segmentation."""
+    with np.errstate(divide="ignore"):
+        rest = np.log(-np.expm1(np.minimum(log_prob, 0.0)))
+    rest[log_prob > -1e-12] = -np.inf  # a unit with one segmentation
+    return rest
+
+
 def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[object], k: int, seed: int, lat: Lattices, units: list[np.ndarray]) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """For each text its samples: perturbed value, log-probability, inclusion score, tokens."""
     n = len(texts)
@@ -414,12 +464,14 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[object],
         exponential = -np.log(_uniform(salt + np.uint64(5)))
         row_at = np.searchsorted(rows, offset)
         after: dict[int, tuple[Sample | None, int, float]] = {}
+        if turn == 0:
+            rest, spent = _rest_of(w.log_prob), np.log(exponential)
         for d, (parent, i, value) in pending.items():
             a, b = int(row_at[d]), int(row_at[d + 1])
             tail, tail_start, tail_log = w.tokens[w.token_start[a] : w.token_start[b]], w.token_start[a : b + 1] - w.token_start[a], w.log_prob[a:b]
             own = exponential[offset[d] : offset[d + 1]]
             if parent is None:
-                s = Sample(value, tail, tail_start, tail_log, _rest_values(tail_log, 0, value, own))
+                s = Sample(value, tail, tail_start, tail_log, -np.logaddexp(-value, spent[a:b] - (np.cumsum(tail_log) - tail_log + rest[a:b])))
             else:
                 rng = Random(int(seeds[d]) + turn)
                 u = int(units[d][i])
@@ -469,39 +521,66 @@ def _next(samples: list[Sample]) -> tuple[Sample | None, int, float]:
     return best
 
 
+def unit_numbers(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct units of texts, and each text's units by number.
+
+    Texts are split and their units numbered by Arrow, but for those where a split at each space does not give the units.
+    """
+    t = pa.array([x or "" for x in texts], pa.string())
+    odd = [pc.match_substring(t, SPACE), pc.match_substring(t, "  "), pc.starts_with(t, " "), pc.ends_with(t, " "), pc.equal(t, "")]
+    slow = reduce(pc.or_, odd)
+    lists = pc.split_pattern(pc.if_else(slow, pa.scalar(None, t.type), t), " ")
+    found = lists.flatten().dictionary_encode()
+    units, sizes = found.dictionary.to_pylist(), lists.value_lengths().fill_null(0).to_numpy()
+    rows = np.split(found.indices.to_numpy(), np.cumsum(sizes)[:-1]) if len(t) else []
+    if pc.any(slow).as_py():
+        number: defaultdict[str, int] = defaultdict(None, zip(units, range(len(units)), strict=True))
+        number.default_factory = number.__len__  # a new unit gets the next number
+        for i in np.flatnonzero(slow.to_numpy(zero_copy_only=False)).tolist():
+            rows[i] = np.array([number[u] for u in units_of(t[i].as_py())], np.int32)
+        units = list(number)
+    return units, rows
+
+
 def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], list[np.ndarray]]:
-    """The library's tokens of each text; also the distinct units and each text's units by number.
+    """The library's tokens of each text; also the distinct units (the remembered ones first) and each text's units by number.
 
-    Distinct units are encoded once.
+    Distinct units are encoded once, remembered ones not again.
     """
-    cut_up = [units_of(t) for t in texts]
-    number: defaultdict[str, int] = defaultdict()
-    number.default_factory = number.__len__  # a new unit gets the next number
-    every = np.fromiter(map(number.__getitem__, chain.from_iterable(cut_up)), np.int64, sum(map(len, cut_up)))
-    number.default_factory = None
-    units = list(number)
-    rows = np.split(every, np.cumsum([len(r) for r in cut_up])[:-1]) if cut_up else []
-    coded = vocab.sp.encode([u.replace(SPACE, " ") for u in units], num_threads=1)
-    if "" in number:
-        coded[number[""]] = [vocab.sp.piece_to_id(SPACE)]
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    found, rows = unit_numbers(texts)
+    known = len(vocab.kept)
+    place = np.fromiter(map(vocab.kept.get, found, repeat(-1)), np.int64, len(found))
+    new = np.flatnonzero(place < 0)
+    place[new] = known + np.arange(len(new))
+    fresh_units = [found[i] for i in new.tolist()]
+    units = [*vocab.kept, *fresh_units]
+    cuts = np.cumsum([len(r) for r in rows], dtype=np.int64)
+    every = place[np.concatenate(rows)] if rows else np.empty(0, np.int64)
+    rows = np.split(every, cuts[:-1]) if rows else []
+    sizes, flat = vocab.tokens_of(fresh_units)
+    sizes, flat = np.concatenate([vocab.kept_sizes, sizes]), np.concatenate([vocab.kept_tokens, flat])
     start = np.cumsum(sizes) - sizes
-    flat = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
     take = sizes[every]
     ends = np.cumsum(take)
-    at = np.repeat(start[every] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)
-    tokens = flat[at]
-    cut = np.r_[0, ends][np.cumsum([len(r) for r in rows], dtype=np.int64)] if rows else []
+    tokens = flat[_runs(start[every], take, ends)]
+    cut = np.r_[0, ends][cuts] if rows else []
     return [tokens[a:b] for a, b in zip([0, *cut[:-1]] if len(cut) else [], cut, strict=True)], units, rows
 
 
+def _runs(start: np.ndarray, size: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, end to end; in 32 bits, as runs hold far fewer places."""
+    n = int(ends[-1]) if len(ends) else 0
+    out = np.repeat((start - (ends - size)).astype(np.int32), size)
+    out += np.arange(n, dtype=np.int32)
+    return out
+
+
 def decoded_bytes(vocab: Vocabulary, coded: list[np.ndarray]) -> list[bytes]:
     """The UTF-8 bytes that each row of tokens stands for, all rows at once."""
     flat = np.concatenate(coded) if coded else np.empty(0, np.int32)
     size = vocab.octets[flat]
     ends = np.cumsum(size)
-    at = np.repeat(vocab.octet_start[flat] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-    raw = vocab.octet_text[at].tobytes()
+    raw = vocab.octet_text[_runs(vocab.octet_start[flat], size, ends)].tobytes()
     cut = np.r_[0, ends][np.cumsum([0, *map(len, coded)])]
     # the space that encoding puts first goes
     return [raw[a:b].removeprefix(b" ") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
@@ -521,6 +600,23 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 _SAMPLE = pa.struct([("value", pa.float64()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("decoded", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
 
+def token_columns(coded: list[np.ndarray], ids: bool) -> dict[str, pa.Array]:
+    """Token arrays as one Arrow list (nulls, if not asked for), their lengths, and crc32 over 32-bit little-endian ids."""
+    sizes = np.fromiter(map(len, coded), np.int32, len(coded))
+    rows = [np.ascontiguousarray(c, "<i4") for c in coded]
+    if ids:
+        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+    else:
+        listed = pa.nulls(len(coded), pa.list_(pa.int32()))
+    return {"ids": listed, "n_tokens": pa.array(sizes), "ids_crc32": pa.array(list(map(zlib.crc32, rows)), pa.int64())}
+
+
+def same_bytes(raw: list[bytes | None], back: list[bytes | None]) -> pa.Array:
+    """Whether each row came back; null where there is nothing to compare with."""
+    return pa.array([None if r is None else r == b for r, b in zip(raw, back, strict=True)], pa.bool_())
+
+
 def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 2.0, seed: int = 7, check: bool = True, sample_ids: bool = True, ids: bool = True, rows: int = 800) -> DataFrame:
     """Add ``ids`` (the library's encoding), ``n_tokens``, ``ids_crc32``, ``decoded`` (it decodes to the text, null
     if not checked) and ``samples``: distinct segmentations, best perturbed value first, each with its own ``decoded``.
@@ -537,18 +633,27 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
         vocab = vocabulary(model, alpha)
         for key_column, text_column in chain.from_iterable(slices(b, rows) for b in batches):
             all_keys, all_texts = key_column.to_pylist(), text_column.to_pylist()
-            out = []
+            if not all_texts:
+                yield pa.array([], kind)
             for a, b in _chunks(all_texts):
                 texts, keys = all_texts[a:b], all_keys[a:b]
                 coded, units, spelt = encode_texts(vocab, texts)
-                back = decoded_bytes(vocab, coded) if check else [b""] * len(texts)
-                drawn = sample_texts(vocab, texts, keys, samples, seed, vocab.lattices(units), spelt) if samples and units else [[] for _ in texts]
-                drawn_back = iter(decoded_bytes(vocab, [x[3] for s in drawn for x in s]) if check else ())
-                for t, c, d, s in zip(texts, coded, back, drawn, strict=True):
-                    raw = t.replace(SPACE, " ").encode("utf-8", "surrogatepass") if check and t is not None else None
-                    found = [{"value": v, "log_prob": lp, "inclusion": q, "n_tokens": len(x), "ids_crc32": zlib.crc32(np.ascontiguousarray(x, np.int32).tobytes()), "decoded": next(drawn_back) == raw if check else None, "ids": x if sample_ids else None} for v, lp, q, x in s]
-                    out.append({"ids": c if ids else None, "n_tokens": len(c), "ids_crc32": zlib.crc32(np.ascontiguousarray(c, np.int32).tobytes()), "decoded": None if raw is None else d == raw, "samples": found})
-            yield pa.array(out, kind)
+                raw = [None if t is None else t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for t in texts] if check else [None] * len(texts)
+                back = decoded_bytes(vocab, coded) if check else raw
+                drawn = sample_texts(vocab, texts, keys, samples, seed, vocab.lattices_of(units), spelt) if samples and units else [[] for _ in texts]
+                if spelt and len(vocab.kept) < KEPT:
+                    vocab.keep(units, np.bincount(np.concatenate(spelt), minlength=len(units)))
+                flat = [x for s in drawn for x in s]
+                flat_raw = [r for r, s in zip(raw, drawn, strict=True) for _ in s]
+                flat_back = decoded_bytes(vocab, [x[3] for x in flat]) if check else flat_raw
+                columns = {
+                    "value": pa.array([x[0] for x in flat], pa.float64()), "log_prob": pa.array([x[1] for x in flat], pa.float64()), "inclusion": pa.array([x[2] for x in flat], pa.float64()),
+                    **token_columns([x[3] for x in flat], sample_ids), "decoded": same_bytes(flat_raw, flat_back),
+                }
+                ends = np.cumsum([0, *map(len, drawn)])
+                struct = pa.StructArray.from_arrays([columns[f.name] for f in _SAMPLE], fields=list(_SAMPLE))
+                found = token_columns(coded, ids) | {"decoded": same_bytes(raw, back), "samples": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)}
+                yield pa.StructArray.from_arrays([found[f.name] for f in kind], fields=list(kind))
         release_memory()
 
     name = fresh(docs, "pieces")

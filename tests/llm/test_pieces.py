@@ -105,6 +105,23 @@ def test_plain_and_logarithmic_sums_agree(soft, monkeypatch):
     assert np.allclose(a.beta, b.beta) and (a.kind == b.kind).all()
 
 
+def test_remembered_units_change_nothing(docs):
+    """Tokens and samples are the same with and without what a task remembers from texts before."""
+    texts = [r.text for r in docs.limit(60).collect()] + ["\U0001d54f x", None, "", "\U0001d550 \u2581 an ist", "an an"]
+    keys = list(range(len(texts)))
+    fresh, used = pieces.Vocabulary(MODEL, 0.4), pieces.Vocabulary(MODEL, 0.4)
+    for a in range(0, len(texts), 13):
+        coded, units, rows = pieces.encode_texts(used, texts[a : a + 13])
+        used.keep(units, np.bincount(np.concatenate(rows), minlength=len(units)))
+    assert len(used.kept) > 100
+    out = []
+    for v in (fresh, used):
+        coded, units, rows = pieces.encode_texts(v, texts)
+        drawn = pieces.sample_texts(v, texts, keys, 3, 5, v.lattices_of(units), rows)
+        out.append(([c.tolist() for c in coded], [[(x[0], x[1], x[2], x[3].tolist()) for x in s] for s in drawn]))
+    assert out[0] == out[1]
+
+
 def test_odd_rows(spark, odd, none):
     out = {r.doc_id: r for r in pieces.encode(odd, MODEL).collect()}
     assert out[1].n_tokens == 0 and out[1].samples == [] and out[1].decoded is None and out[2].n_tokens == 0
