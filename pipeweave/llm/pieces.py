@@ -65,6 +65,7 @@ class Lattices:
     first: np.ndarray  # first edge of each node
     kind: np.ndarray
     beta: np.ndarray  # of each node: log of the weight of all ways to its unit's end
+    share: np.ndarray  # of each edge: its probability at its node
     size: np.ndarray  # of a kind: characters
     weight: np.ndarray  # of a kind: log weight
     token: np.ndarray  # of a kind: token id, or -1 - entry of byte_ids
@@ -79,7 +80,7 @@ class Lattices:
         token = np.concatenate([self.token[:pieces], -1 - np.arange(len(byte_ids), dtype=np.int32)])
         return Lattices(
             np.concatenate([self.start, other.start + nodes]), np.concatenate([self.first[:nodes], other.first + np.int32(edges)]), np.concatenate([self.kind, kind]),
-            np.concatenate([self.beta[:nodes], other.beta]), both(self.size, other.size), both(self.weight, other.weight), token, byte_ids,
+            np.concatenate([self.beta[:nodes], other.beta]), np.concatenate([self.share, other.share]), both(self.size, other.size), both(self.weight, other.weight), token, byte_ids,
         )
 
     def end(self, node: int, edge: int) -> int:
@@ -140,8 +141,8 @@ class Vocabulary:
         spelt = [texts[i].replace(SPACE, " ").encode() if i in texts else b"" for i in range(n)]
         for b, i in enumerate(self.bytes):
             spelt[i] = bytes([b])
-        self.octets = np.array([len(x) for x in spelt], np.int64)
-        self.octet_start = np.cumsum(self.octets) - self.octets
+        self.octets = np.array([len(x) for x in spelt], np.int32)
+        self.octet_start = np.cumsum(self.octets, dtype=np.int32) - self.octets
         self.octet_text = np.frombuffer(b"".join(spelt), np.uint8)
         self.kept: dict[str, int] = {}
         self.kept_sizes, self.kept_tokens = np.empty(0, np.int64), np.empty(0, np.int32)
@@ -238,7 +239,7 @@ class Vocabulary:
     def lattices(self, units: list[str]) -> Lattices:
         units = [SPACE + u for u in units]
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        start = np.cumsum(lengths + 1) - lengths - 1
+        start = (np.cumsum(lengths + 1) - lengths - 1).astype(np.int32)
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         nodes = int((lengths + 1).sum())
         owner = np.repeat(np.arange(len(units), dtype=np.int32), lengths)
@@ -281,11 +282,15 @@ class Vocabulary:
         size = np.concatenate([self.depth, np.ones(extra, np.int32)])
         weight = np.concatenate([self.weight, [len(x) * self.byte_weight for x in byte_ids]])
         token = np.concatenate([self.piece, -1 - np.arange(extra)]).astype(np.int32)
-        lat = Lattices(start, first, kind, np.zeros(nodes + 1), size, weight, token, byte_ids)
+        lat = Lattices(start, first, kind, np.zeros(nodes + 1), np.empty(0), size, weight, token, byte_ids)
         rough = lengths > PLAIN
         rough[owner[~single[at]]] = True
         self._backward(lat, np.flatnonzero(~rough), lengths, self.lifted)
         self._backward(lat, np.flatnonzero(rough), lengths, None)
+        node = np.repeat(np.arange(nodes + 1, dtype=np.int32), degree)
+        lat.share = weight[kind] + lat.beta[node + size[kind]]
+        lat.share -= lat.beta[node]
+        np.exp(lat.share, out=lat.share)
         return lat
 
 
@@ -334,19 +339,17 @@ def walk(lat: Lattices, unit: np.ndarray, base: np.ndarray) -> Walk:
     step = 0
     while len(live):
         edge, stop = lat.first[node], lat.first[node + 1]
-        kind = lat.kind[edge]
         todo = np.flatnonzero(stop - edge > 1)
-        here, last, spot, k = node[todo], stop[todo] - 1, edge[todo], kind[todo]
+        last, spot = stop[todo] - 1, edge[todo]
         with np.errstate(over="ignore"):
             u = _uniform(base[live[todo]] + np.uint64(step) * np.uint64(0x8CB92BA72F3D8DD7))
-        floor = lat.beta[here]
         while len(todo):
             # the probability of the edge is taken off until the number drawn is used up
-            u -= np.exp(lat.weight[k] + lat.beta[here + lat.size[k]] - floor)
+            u -= lat.share[spot]
             further = np.flatnonzero((u > 0) & (spot < last))
-            todo, here, last, spot, u, floor = todo[further], here[further], last[further], spot[further] + 1, u[further], floor[further]
-            k = lat.kind[spot]
-            kind[todo] = k
+            todo, last, spot, u = todo[further], last[further], spot[further] + 1, u[further]
+            edge[todo] = spot
+        kind = lat.kind[edge]
         log_prob[live] += lat.weight[kind]
         token = lat.token[kind]
         steps.append((live, token))
@@ -531,7 +534,7 @@ def unit_numbers(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
     slow = reduce(pc.or_, odd)
     lists = pc.split_pattern(pc.if_else(slow, pa.scalar(None, t.type), t), " ")
     found = lists.flatten().dictionary_encode()
-    units, sizes = found.dictionary.to_pylist(), lists.value_lengths().fill_null(0).to_numpy()
+    units, sizes = found.dictionary.to_numpy(zero_copy_only=False).tolist(), lists.value_lengths().fill_null(0).to_numpy()
     rows = np.split(found.indices.to_numpy(), np.cumsum(sizes)[:-1]) if len(t) else []
     if pc.any(slow).as_py():
         number: defaultdict[str, int] = defaultdict(None, zip(units, range(len(units)), strict=True))
@@ -570,7 +573,7 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[list[np.nd
 def _runs(start: np.ndarray, size: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of each run, end to end; in 32 bits, as runs hold far fewer places."""
     n = int(ends[-1]) if len(ends) else 0
-    out = np.repeat((start - (ends - size)).astype(np.int32), size)
+    out = np.repeat((start - (ends - size)).astype(np.int32, copy=False), size)
     out += np.arange(n, dtype=np.int32)
     return out
 
@@ -579,7 +582,7 @@ def decoded_bytes(vocab: Vocabulary, coded: list[np.ndarray]) -> list[bytes]:
     """The UTF-8 bytes that each row of tokens stands for, all rows at once."""
     flat = np.concatenate(coded) if coded else np.empty(0, np.int32)
     size = vocab.octets[flat]
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int32)
     raw = vocab.octet_text[_runs(vocab.octet_start[flat], size, ends)].tobytes()
     cut = np.r_[0, ends][np.cumsum([0, *map(len, coded)])]
     # the space that encoding puts first goes
