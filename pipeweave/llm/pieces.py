@@ -332,17 +332,17 @@ def walk(lat: Lattices, unit: np.ndarray, base: np.ndarray) -> Walk:
     """Draw a segmentation of each unit by its probability; ``base`` seeds each draw."""
     n = len(unit)
     node = lat.start[unit]
-    live = np.arange(n, dtype=np.int32)
-    count, log_prob = np.zeros(n, np.int64), -lat.beta[node]
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-    width = np.array([1, *[len(b) for b in lat.byte_ids]], np.int64)
+    edge, stop = lat.first[node], lat.first[node + 1]
+    live: np.ndarray | slice = slice(None)  # the rows that go on: at first all of them
+    count, log_prob = np.zeros(n, np.int32), -lat.beta[node]
+    steps: list[tuple[np.ndarray | slice, np.ndarray]] = []
+    width = np.array([1, *[len(b) for b in lat.byte_ids]], np.int32)
     step = 0
-    while len(live):
-        edge, stop = lat.first[node], lat.first[node + 1]
+    while len(node):
         todo = np.flatnonzero(stop - edge > 1)
         last, spot = stop[todo] - 1, edge[todo]
         with np.errstate(over="ignore"):
-            u = _uniform(base[live[todo]] + np.uint64(step) * np.uint64(0x8CB92BA72F3D8DD7))
+            u = _uniform(base[live][todo] + np.uint64(step) * np.uint64(0x8CB92BA72F3D8DD7))
         while len(todo):
             # the probability of the edge is taken off until the number drawn is used up
             u -= lat.share[spot]
@@ -355,24 +355,28 @@ def walk(lat: Lattices, unit: np.ndarray, base: np.ndarray) -> Walk:
         steps.append((live, token))
         count[live] += 1
         bare = np.flatnonzero(token < 0)
-        count[live[bare]] += width[-token[bare]] - 1
+        if len(bare):
+            count[bare if isinstance(live, slice) else live[bare]] += width[-token[bare]] - 1
         node = node + lat.size[kind]
-        more = np.flatnonzero(lat.first[node + 1] > lat.first[node])  # the last node of each unit has no edge
-        live, node = live[more], node[more]
+        edge, stop = lat.first[node], lat.first[node + 1]
+        more = np.flatnonzero(stop > edge)  # the last node of each unit has no edge
+        live = more.astype(np.int32) if isinstance(live, slice) else live[more]
+        node, edge, stop = node[more], edge[more], stop[more]
         step += 1
     token_start = np.zeros(n + 1, np.int64)
     np.cumsum(count, out=token_start[1:])
     tokens = np.empty(int(token_start[-1]), np.int32)
-    at = token_start[:-1].copy()
+    at = token_start[:-1].astype(np.int32)
     for rows, token in steps:
         place = at[rows]
         tokens[place] = token
-        at[rows] = place + 1
         bare = np.flatnonzero(token < 0)
         for b, i in enumerate((-1 - token[bare]).tolist()):
             ids = lat.byte_ids[i]
             tokens[place[bare[b]] : place[bare[b]] + len(ids)] = ids
-        at[rows[bare]] += width[-token[bare]] - 1
+        if len(bare):
+            at[bare if isinstance(rows, slice) else rows[bare]] += width[-token[bare]] - 1
+        at[rows] += 1
     return Walk(tokens, token_start, np.minimum(log_prob, 0.0))
 
 
@@ -620,7 +624,7 @@ def same_bytes(raw: list[bytes | None], back: list[bytes | None]) -> pa.Array:
     return pa.array([None if r is None else r == b for r, b in zip(raw, back, strict=True)], pa.bool_())
 
 
-def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 2.0, seed: int = 7, check: bool = True, sample_ids: bool = True, ids: bool = True, rows: int = 800) -> DataFrame:
+def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 2.0, seed: int = 7, check: bool = True, sample_ids: bool = True, ids: bool = True, rows: int = 1200) -> DataFrame:
     """Add ``ids`` (the library's encoding), ``n_tokens``, ``ids_crc32``, ``decoded`` (it decodes to the text, null
     if not checked) and ``samples``: distinct segmentations, best perturbed value first, each with its own ``decoded``.
 
