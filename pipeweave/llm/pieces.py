@@ -29,7 +29,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 from itertools import chain, repeat
 from random import Random
 
@@ -147,6 +146,7 @@ class Vocabulary:
         self.kept: dict[str, int] = {}
         self.kept_sizes, self.kept_tokens = np.empty(0, np.int64), np.empty(0, np.int32)
         self.kept_lattices: Lattices | None = None
+        self.kept_sound = self.sound = True
 
     def _slots(self) -> tuple[np.ndarray, np.ndarray]:
         """A hash table with two places for each key, at most a quarter full."""
@@ -218,6 +218,11 @@ class Vocabulary:
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         return sizes, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
 
+    def spells(self, units: list[str], tokens: np.ndarray) -> bool:
+        """Whether the tokens of units, end to end, decode to just these units, each with the space that it begins with."""
+        want = "".join([" " + u for u in units]).replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        return _octets(self, tokens)[0] == want
+
     def keep(self, units: list[str], times: np.ndarray) -> None:
         """Remember the units met twice or more, while there is room."""
         known = len(self.kept)
@@ -225,6 +230,7 @@ class Vocabulary:
         if not new:
             return
         sizes, tokens = self.tokens_of(new)
+        self.kept_sound = self.kept_sound and self.spells(new, tokens)
         lattices = self.lattices(new)
         self.kept.update(zip(new, range(known, known + len(new)), strict=True))
         self.kept_sizes, self.kept_tokens = np.concatenate([self.kept_sizes, sizes]), np.concatenate([self.kept_tokens, tokens])
@@ -533,18 +539,19 @@ def unit_numbers(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
 
     Texts are split and their units numbered by Arrow, but for those where a split at each space does not give the units.
     """
-    t = pa.array([x or "" for x in texts], pa.string())
-    odd = [pc.match_substring(t, SPACE), pc.match_substring(t, "  "), pc.starts_with(t, " "), pc.ends_with(t, " "), pc.equal(t, "")]
-    slow = reduce(pc.or_, odd)
-    lists = pc.split_pattern(pc.if_else(slow, pa.scalar(None, t.type), t), " ")
+    slow = [i for i, t in enumerate(texts) if not t or "  " in t or t[0] == " " or t[-1] == " " or SPACE in t]
+    plain = list(texts)
+    for i in slow:
+        plain[i] = None
+    lists = pc.split_pattern(pa.array(plain, pa.string()), " ")
     found = lists.flatten().dictionary_encode()
     units, sizes = found.dictionary.to_numpy(zero_copy_only=False).tolist(), lists.value_lengths().fill_null(0).to_numpy()
-    rows = np.split(found.indices.to_numpy(), np.cumsum(sizes)[:-1]) if len(t) else []
-    if pc.any(slow).as_py():
+    rows = np.split(found.indices.to_numpy(), np.cumsum(sizes)[:-1]) if texts else []
+    if slow:
         number: defaultdict[str, int] = defaultdict(None, zip(units, range(len(units)), strict=True))
         number.default_factory = number.__len__  # a new unit gets the next number
-        for i in np.flatnonzero(slow.to_numpy(zero_copy_only=False)).tolist():
-            rows[i] = np.array([number[u] for u in units_of(t[i].as_py())], np.int32)
+        for i in slow:
+            rows[i] = np.array([number[u] for u in units_of(texts[i])], np.int32)
         units = list(number)
     return units, rows
 
@@ -552,7 +559,8 @@ def unit_numbers(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
 def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], list[np.ndarray]]:
     """The library's tokens of each text; also the distinct units (the remembered ones first) and each text's units by number.
 
-    Distinct units are encoded once, remembered ones not again.
+    Distinct units are encoded once, remembered ones not again. ``vocab.sound`` tells whether the tokens of
+    all these units decode to them, and so those of the texts, which are units end to end, to the texts.
     """
     found, rows = unit_numbers(texts)
     known = len(vocab.kept)
@@ -565,6 +573,7 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> tuple[list[np.nd
     every = place[np.concatenate(rows)] if rows else np.empty(0, np.int64)
     rows = np.split(every, cuts[:-1]) if rows else []
     sizes, flat = vocab.tokens_of(fresh_units)
+    vocab.sound = vocab.kept_sound and vocab.spells(fresh_units, flat)
     sizes, flat = np.concatenate([vocab.kept_sizes, sizes]), np.concatenate([vocab.kept_tokens, flat])
     start = np.cumsum(sizes) - sizes
     take = sizes[every]
@@ -582,12 +591,16 @@ def _runs(start: np.ndarray, size: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def _octets(vocab: Vocabulary, tokens: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes that tokens stand for, end to end, and where each token's bytes end."""
+    size = vocab.octets[tokens]
+    ends = np.cumsum(size, dtype=np.int32)
+    return vocab.octet_text[_runs(vocab.octet_start[tokens], size, ends)].tobytes(), ends
+
+
 def decoded_bytes(vocab: Vocabulary, coded: list[np.ndarray]) -> list[bytes]:
     """The UTF-8 bytes that each row of tokens stands for, all rows at once."""
-    flat = np.concatenate(coded) if coded else np.empty(0, np.int32)
-    size = vocab.octets[flat]
-    ends = np.cumsum(size, dtype=np.int32)
-    raw = vocab.octet_text[_runs(vocab.octet_start[flat], size, ends)].tobytes()
+    raw, ends = _octets(vocab, np.concatenate(coded) if coded else np.empty(0, np.int32))
     cut = np.r_[0, ends][np.cumsum([0, *map(len, coded)])]
     # the space that encoding puts first goes
     return [raw[a:b].removeprefix(b" ") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
@@ -624,7 +637,7 @@ def same_bytes(raw: list[bytes | None], back: list[bytes | None]) -> pa.Array:
     return pa.array([None if r is None else r == b for r, b in zip(raw, back, strict=True)], pa.bool_())
 
 
-def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 2.0, seed: int = 7, check: bool = True, sample_ids: bool = True, ids: bool = True, rows: int = 1200) -> DataFrame:
+def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 2.0, seed: int = 7, check: bool = True, sample_ids: bool = True, ids: bool = True, rows: int = 1000) -> DataFrame:
     """Add ``ids`` (the library's encoding), ``n_tokens``, ``ids_crc32``, ``decoded`` (it decodes to the text, null
     if not checked) and ``samples``: distinct segmentations, best perturbed value first, each with its own ``decoded``.
 
@@ -646,7 +659,7 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
                 texts, keys = all_texts[a:b], all_keys[a:b]
                 coded, units, spelt = encode_texts(vocab, texts)
                 raw = [None if t is None else t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for t in texts] if check else [None] * len(texts)
-                back = decoded_bytes(vocab, coded) if check else raw
+                back = raw if not check or vocab.sound else decoded_bytes(vocab, coded)
                 drawn = sample_texts(vocab, texts, keys, samples, seed, vocab.lattices_of(units), spelt) if samples and units else [[] for _ in texts]
                 if spelt and len(vocab.kept) < KEPT:
                     vocab.keep(units, np.bincount(np.concatenate(spelt), minlength=len(units)))

@@ -105,6 +105,20 @@ def test_plain_and_logarithmic_sums_agree(soft, monkeypatch):
     assert np.allclose(a.beta, b.beta) and (a.kind == b.kind).all()
 
 
+def test_units_by_split_and_by_pattern(docs):
+    texts = [r.text for r in docs.limit(300).collect()] + [None, "", " ", "  ", " a", "a ", "a  b", "a b", "\u2581a \u2581", "\n \n", "x" * 9000 + " \u00e9"]
+    units, rows = pieces.unit_numbers(texts)
+    assert len(set(units)) == len(units) and [[units[i] for i in r.tolist()] for r in rows] == [pieces.units_of(t) for t in texts]
+    assert pieces.unit_numbers([]) == ([], [])
+
+
+def test_unsound_tokens_are_told(soft):
+    """Where tokens of a unit do not spell it, texts are decoded one by one and only those that hold it fail."""
+    assert pieces.encode_texts(soft, ["an ist", "a\u2581b  c", None, ""]) and soft.sound
+    _, tokens = soft.tokens_of(["an", "ist"])
+    assert soft.spells(["an", "ist"], tokens) and not soft.spells(["an", "is"], tokens) and not soft.spells(["ist", "an"], tokens) and soft.spells([], tokens[:0])
+
+
 def test_remembered_units_change_nothing(docs):
     """Tokens and samples are the same with and without what a task remembers from texts before."""
     texts = [r.text for r in docs.limit(60).collect()] + ["\U0001d54f x", None, "", "\U0001d550 \u2581 an ist", "an an"]
