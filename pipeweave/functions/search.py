@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pipeweave.operators.rel import stable
+
 #: Fixed values of the lexical model: buckets, and the FNV-1a offset and prime.
 BUCKETS, FNV_OFFSET, FNV_PRIME = 256, 0xCBF29CE484222325, 0x100000001B3
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+@lru_cache(500_000)
 def word_bucket(word: str) -> int:
     h = FNV_OFFSET
     for b in word.encode():
@@ -22,11 +31,8 @@ def word_bucket(word: str) -> int:
 
 def bag(text: str | None) -> np.ndarray:
     """The unit vector of 1 + ln(count) by bucket of lower-case words of letters and digits."""
-    import re
-
-    v = np.zeros(BUCKETS)
-    for w in re.findall(r"[^\W_]+", (text or "").lower()):
-        v[word_bucket(w)] += 1
+    counts = Counter(_WORD.findall((text or "").lower()))
+    v = np.bincount([word_bucket(w) for w in counts], list(counts.values()), BUCKETS) if counts else np.zeros(BUCKETS)
     v = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0)
     n = np.linalg.norm(v)
     return v / n if n else v
@@ -41,8 +47,10 @@ def lexical(docs: DataFrame, query: str, name: str, text: str, k: int | None = N
         for b in batches:
             yield pa.array([float(bag(t) @ want) for t in b.to_pylist()], pa.float64())
 
-    out = docs.select(name, score(F.col(text)).alias("score")).where("score > 0").orderBy(F.desc("score"), name)
-    return out.limit(k) if k else out
+    scored = docs.select(name, score(F.col(text)).alias("score")).where("score > 0")
+    if k:
+        return scored.orderBy(F.desc("score"), name).limit(k)
+    return stable(scored).orderBy(F.desc("score"), name)  # a sort of all rows would score them twice
 
 
 def cosine(a: Column, b: Column) -> Column:
