@@ -35,6 +35,8 @@ MOST, SAFE = float(1 << 62), float(1 << 62)
 EXACT = float(1 << 53)
 #: Vectors in a candidate block, in a query block, and in the head that gives first thresholds.
 CANDIDATES, QUERIES, HEAD = 2048, 512, 2048
+#: Bytes of query blocks, by estimate, that a task holds while candidate blocks pass by.
+ASKED = 64 << 20
 #: What rounding may take off a bound, as a share of the product of lengths (directions are 32-bit numbers).
 SLACK = 1e-5
 _BLOCK = "lane int, ids binary, vectors binary, lead binary, rest binary, lengths binary, wide boolean, longest double"
@@ -136,9 +138,8 @@ def _gram(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatc
 def rotation(vectors: DataFrame, dim: int, share: float = 0.8) -> Rotation:
     """Axes from the Gram matrix of all vectors: partial sums in each task, dim x dim sums after one shuffle."""
     cells = vectors.select("v", "wide", "dim").mapInArrow(lambda b: _gram(b, dim), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x"))
-    gram = np.zeros(dim * dim)
-    for r in cells.collect():
-        gram[r["cell"]] = r["x"]
+    gram, found = np.zeros(dim * dim), cells.toArrow()
+    gram[found["cell"].to_numpy()] = found["x"].to_numpy()
     energy, axes = np.linalg.eigh(gram.reshape(dim, dim))
     energy, axes = np.maximum(energy[::-1], 0), axes[:, ::-1]
     total = energy.sum()
@@ -273,10 +274,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, share: float = 0.8) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``: the exact ``k`` best candidates of each query.
 
-    Candidates are range-partitioned by (length, id), so equal vectors spread too. Each candidate
-    block lies in one of ``lanes`` lanes (no more than there are blocks) and each query block is copied to every lane: an
-    equi-join on the lane brings every query block to every candidate block once, as an exact search
-    must. What a task holds is one pair of blocks. Broadcast to tasks: the axes (dim x dim at most) and HEAD vectors.
+    Candidates are range-partitioned by (length, id), so equal vectors spread too, and their blocks are dealt
+    out to ``lanes`` lanes, long ones among short ones. Every query block meets every candidate block once, as an
+    exact search must: a task goes through the candidate blocks of a lane with some ASKED bytes of query
+    blocks, read from the work folder; these are neither broadcast nor copied through a shuffle, whatever
+    the session's broadcast threshold. Broadcast to tasks: the axes (dim x dim at most) and HEAD vectors.
     """
     spark = candidates.sparkSession
     space = Workspace(spark, "topk")
@@ -284,19 +286,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, key: str = "vec_
     q = quantised(queries, key, vector, scale).groupBy("id").agg(F.min(F.struct("v", "wide", "dim")).alias("r")).select("id", "r.*")
     q = space.save(q, "asking")
     widest, rows = c.agg(F.max("dim"), F.count(F.lit(1))).first()
-    dim = max(widest or 1, q.agg(F.max("dim")).first()[0] or 1)
+    widest_asking, asking = q.agg(F.max("dim"), F.count(F.lit(1))).first()
+    dim = max(widest or 1, widest_asking or 1)
     turn = rotation(c, dim, share)
-    lanes = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // CANDIDATES)))
+    # partitions of three quarters of a block: few need a second one
+    lanes = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * rows // (3 * CANDIDATES))))
     top = c.orderBy(F.desc("norm"), "id").limit(HEAD).toArrow().combine_chunks().to_batches()
     head = Block.of(top[0].column("id").to_numpy(), _padded(top[0], dim), turn) if top else Block.of(np.empty(0, np.int64), np.empty((0, dim), np.int64), turn)
     dealt = c.repartitionByRange(lanes, F.desc("norm"), F.col("id")).sortWithinPartitions(F.desc("norm"), "id")
-    c_blocks = dealt.mapInArrow(lambda b: _blocks(b, dim, CANDIDATES, lanes, turn), _BLOCK)
-    q_blocks = q.repartition(lanes, "id").mapInArrow(lambda b: _blocks(b, dim, QUERIES, lanes, turn), _BLOCK)
+    c_blocks = dealt.mapInArrow(lambda b: _blocks(b, dim, CANDIDATES, lanes, turn), _BLOCK).repartition(lanes, "lane").drop("lane")
+    q_blocks = q.repartition(max(1, -(-4 * asking // (3 * QUERIES))), "id").mapInArrow(lambda b: _blocks(b, dim, QUERIES, lanes, turn), _BLOCK)
     q_blocks = q_blocks.mapInArrow(lambda b: _floors(b, k, head), "q_ids binary, q_vectors binary, q_lead binary, q_rest binary, q_lengths binary, q_wide boolean, q_longest double, floors binary, least double")
-    q_blocks = space.save(q_blocks, "queries")
-    copies = q_blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    meet = c_blocks.join(copies, "lane").where(F.col("longest") * F.col("q_longest") * (1 + SLACK) + 1 >= F.col("least"))
-    found = space.save(meet.drop("lane", "longest", "q_longest", "least").mapInArrow(lambda b: _pairs(b, k), "query_id long, vec_id long, score long"), "found")
+    q_blocks = space.save(q_blocks, "queries").coalesce(max(1, -(-asking * dim * 12 // ASKED)))
+    meet = c_blocks.join(q_blocks.hint("shuffle_replicate_nl"), F.col("longest") * F.col("q_longest") * (1 + SLACK) + 1 >= F.col("least"))
+    found = space.save(meet.drop("longest", "q_longest", "least").mapInArrow(lambda b: _pairs(b, k), "query_id long, vec_id long, score long"), "found")
     space.keep("found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -327,6 +327,32 @@ def test_top_k_equals_brute_force(spark, monkeypatch, kind):
     assert got == brute_top(rows, 5, 20)
 
 
+def test_top_k_sends_no_query_block_to_the_driver(spark, monkeypatch):
+    """Whatever the broadcast threshold, blocks are neither broadcast nor copied per lane; each meets all in several parts too."""
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "HEAD", 16)
+    monkeypatch.setattr(topk, "ASKED", 1000, raising=False)
+    plans, save = {}, topk.Workspace.save
+
+    def watched(self, df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, tag)
+
+    monkeypatch.setattr(topk.Workspace, "save", watched)
+    x = np.random.default_rng(5).normal(size=(400, 12))
+    rows = [(i, [float(np.float32(y)) for y in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df.where("vec_id % 10 = 0"), df, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute_top(rows, 5, 10)
+    assert "Broadcast" not in plans["found"] and "Generate" not in plans["found"]
+
+
 def test_pruning_saves_products():
     rng = np.random.default_rng(3)
     c = (rng.normal(size=(2000, 16)) * np.r_[np.full(3, 60.0), np.full(13, 2.0)]).astype(np.int64)
