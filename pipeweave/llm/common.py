@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ cloudpickle.register_pickle_by_value(pipeweave)
 SLICE = 1000
 #: Bytes of an Arrow batch while an operator writes its own tables.
 BATCH = 8 << 20
+#: Seconds between two times that an operator gives the driver's freed memory back.
+RELEASE_S = 10.0
+_released = [0.0]
 
 
 def slices(batch, rows: int = SLICE) -> Iterator:
@@ -67,7 +72,7 @@ class Workspace:
     """Intermediate tables of one operator call, written as Parquet into the shared folder.
 
     A written table cuts lineage and survives lost executors. ``keep`` removes what a lazy result
-    does not read; the rest goes when the session's JVM ends.
+    does not read; the rest goes when the session's JVM ends. Between tables the driver gives freed memory back.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -88,6 +93,7 @@ class Workspace:
         with small_batches(self.spark):
             df.write.mode("overwrite").parquet(self.path(tag))
         self.tags.add(tag)
+        release_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
     def drop(self, *tags: str) -> None:
@@ -99,6 +105,7 @@ class Workspace:
     def keep(self, *tags: str) -> None:
         """Remove every table but these."""
         self.drop(*sorted(self.tags - set(tags)))
+        release_driver(self.spark)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -156,6 +163,29 @@ def release_memory() -> None:
         pass  # another C library
 
 
+def release_driver(spark: SparkSession) -> None:
+    """Give the driver's freed memory back to the system, at most every ``RELEASE_S`` seconds.
+
+    An operator of hundreds of jobs leaves plans, broadcast tables and task results behind. Java's heap grows over them, and the C
+    library keeps what planning, compiling and sending freed, unless both are asked. The collection lets Spark drop old broadcasts and shuffles, too.
+    """
+    if time.monotonic() - _released[0] < RELEASE_S:
+        return
+    release_memory()
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # the server's own class is closed to callers, its interface is not
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        call = new(jvm.java.lang.Object, 4)
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, call)
+    except Py4JError:
+        pass  # a JVM without this command
+    _released[0] = time.monotonic()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit affects every output bit."""
     with np.errstate(over="ignore"):

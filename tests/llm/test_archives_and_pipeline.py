@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import time
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pipeweave.llm import langid, mixing, neardup, quality, stages, warc
+from pipeweave.llm import common, langid, mixing, neardup, quality, stages, warc
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -173,3 +174,17 @@ def test_pipeline_of_nothing(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_driver_gives_freed_memory_back(spark, docs, monkeypatch):
+    """Between an operator's tables the driver's memory is collected and trimmed, but not after each of them."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(common, "_released", [time.monotonic()], raising=False)
+    monkeypatch.setattr(common, "RELEASE_S", 3600.0, raising=False)
+    space, few, before = common.Workspace(spark, "released"), docs.select("doc_id").limit(10), full()
+    space.save(few, "one")
+    assert full() == before
+    monkeypatch.setattr(common, "RELEASE_S", 0.0, raising=False)
+    assert space.save(few, "two").count() == 10 and full() > before
+    space.keep()
