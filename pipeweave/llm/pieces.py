@@ -24,13 +24,17 @@ columns with the names of the added ones are replaced, others pass through.
 from __future__ import annotations
 
 import math
+import os
 import re
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 from random import Random
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +99,15 @@ class Lattices:
         t = int(self.token[self.kind[edge]])
         return (t,) if t >= 0 else self.byte_ids[-1 - t]
 
+    def steps(self, unit: int) -> tuple[int, list[int], list[int], list[float]]:
+        """Of a unit: its first edge, the edges before each of its nodes (from 0 on), and each edge's characters and log-probability."""
+        node = int(self.start[unit])
+        stop = int(self.start[unit + 1]) if unit + 1 < len(self.start) else len(self.beta) - 1
+        first = self.first[node : stop + 1]
+        kind = self.kind[first[0] : first[-1]]
+        size, here = self.size[kind], np.repeat(np.arange(node, stop), np.diff(first))
+        return int(first[0]), (first - first[0]).tolist(), size.tolist(), (self.weight[kind] + self.beta[here + size] - self.beta[here]).tolist()
+
     def log_mass(self, unit: int, path: tuple[int, ...]) -> float:
         """Log-probability of one segmentation of a unit."""
         return float(self.weight[self.kind[list(path)]].sum() - self.beta[self.start[unit]])
@@ -306,6 +319,21 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
     return _MODELS[path, alpha]
 
 
+@contextmanager
+def lent(path: str, alpha: float) -> Iterator[Vocabulary]:
+    """A vocabulary, with what it remembers, that the process keeps for its next task; one whose task failed is not kept.
+
+    A function sent to an executor comes with new globals for each task, so the vocabulary lies in a module of its own. One at a time is kept.
+    """
+    kept = sys.modules.setdefault("pipeweave_kept", ModuleType("pipeweave_kept")).__dict__.setdefault("vocabularies", {})
+    at = os.stat(path)
+    name = path, alpha, at.st_mtime_ns, at.st_size
+    vocab = kept.pop(name, None) or Vocabulary(path, alpha)
+    yield vocab
+    kept.clear()
+    kept[name] = vocab
+
+
 def units_of(text: str | None) -> list[str]:
     """The units of a text, without the space that each begins with; further spaces as U+2581."""
     if not text:
@@ -396,18 +424,19 @@ def path_of(lat: Lattices, unit: int, tokens: np.ndarray) -> tuple[int, ...]:
     return tuple(out)
 
 
-def draw_other(lat: Lattices, unit: int, taken: list[tuple[int, ...]], rng: Random) -> tuple[int, ...] | None:
+def draw_other(lat: Lattices, unit: int, taken: list[tuple[int, ...]], rng: Random, mass: dict[tuple[int, ...], float] | None = None) -> tuple[int, ...] | None:
     """A segmentation of the unit outside ``taken``, by its probability among those. None: nothing is left.
 
-    At every node the mass of the taken paths that still agree is left out.
+    At every node the mass of the taken paths that still agree is left out (``mass``, of each of them, if it is known).
     """
-    node, path, log_prob = int(lat.start[unit]), (), 0.0
-    mass = {t: math.exp(lat.log_mass(unit, t)) for t in taken}
-    while len(edges := lat.edges(node)):
-        free = []
+    node, path, log_prob = 0, (), 0.0
+    mass = {t: math.exp(lat.log_mass(unit, t)) for t in taken} if mass is None else mass
+    base, first, size, edge_log = lat.steps(unit)
+    while first[node] < first[node + 1]:
+        edges, free = range(first[node], first[node + 1]), []
         for e in edges:
-            same = [t for t in mass if t[: len(path) + 1] == (*path, e)]
-            whole = math.exp(log_prob + lat.log_prob(node, e))
+            same = [t for t in mass if t[: len(path) + 1] == (*path, base + e)]
+            whole = math.exp(log_prob + edge_log[e])
             left = whole - sum(mass[t] for t in same)
             # what rounding leaves of a fully taken edge is no mass
             free.append(left if left > 0 and not (same and left < 1e-9 * whole) else 0.0)
@@ -420,7 +449,7 @@ def draw_other(lat: Lattices, unit: int, taken: list[tuple[int, ...]], rng: Rand
                 pick -= f
                 if pick < 0:
                     break
-        path, log_prob, node = (*path, e), log_prob + lat.log_prob(node, e), lat.end(node, e)
+        path, log_prob, node = (*path, base + e), log_prob + edge_log[e], node + size[e]
     return path
 
 
@@ -431,15 +460,16 @@ class Sample:
     token_start: np.ndarray
     log_prob: np.ndarray
     frontier: np.ndarray
-    taken: dict[int, list[tuple[int, ...]]] = field(default_factory=dict)
+    taken: dict[int, dict[tuple[int, ...], float]] = field(default_factory=dict)  # of a unit: segmentations and their probabilities
 
 
-def _rest_values(log_prob: np.ndarray, since: int, cap: float, exponential: np.ndarray) -> np.ndarray:
-    """The perturbed value of "agrees before unit i, departs in unit i", for units from ``since`` on."""
+def _rest_values(log_prob: np.ndarray, since: int, cap: float, spent: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The perturbed value of "agrees before unit i, departs in unit i", for units from ``since`` on, of which ``spent``
+    holds the logarithms of exponential draws and ``rest`` those of the probabilities to depart."""
     out = np.full(len(log_prob), -np.inf)
     own = log_prob[since:]
     prefix = np.cumsum(log_prob)[since:] - own
-    out[since:] = -np.logaddexp(-cap, np.log(exponential) - (prefix + _rest_of(own)))
+    out[since:] = -np.logaddexp(-cap, spent - (prefix + rest))
     return out
 
 
@@ -477,37 +507,36 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[object],
         exponential = -np.log(_uniform(salt + np.uint64(5)))
         row_at = np.searchsorted(rows, offset)
         after: dict[int, tuple[Sample | None, int, float]] = {}
-        if turn == 0:
-            rest, spent = _rest_of(w.log_prob), np.log(exponential)
+        rest, spent = _rest_of(w.log_prob), np.log(exponential)
         for d, (parent, i, value) in pending.items():
             a, b = int(row_at[d]), int(row_at[d + 1])
             tail, tail_start, tail_log = w.tokens[w.token_start[a] : w.token_start[b]], w.token_start[a : b + 1] - w.token_start[a], w.log_prob[a:b]
-            own = exponential[offset[d] : offset[d + 1]]
             if parent is None:
                 s = Sample(value, tail, tail_start, tail_log, -np.logaddexp(-value, spent[a:b] - (np.cumsum(tail_log) - tail_log + rest[a:b])))
             else:
                 rng = Random(int(seeds[d]) + turn)
                 u = int(units[d][i])
                 if i not in parent.taken:
-                    parent.taken[i] = [path_of(lat, u, parent.tokens[parent.token_start[i] : parent.token_start[i + 1]])]
-                other = draw_other(lat, u, parent.taken[i], rng)
+                    own_path = path_of(lat, u, parent.tokens[parent.token_start[i] : parent.token_start[i + 1]])
+                    parent.taken[i] = {own_path: math.exp(lat.log_mass(u, own_path))}
+                taken = parent.taken[i]
+                other = draw_other(lat, u, list(taken), rng, taken)
                 if other is None:
                     parent.frontier[i] = -np.inf
                     after[d] = _next(done[d])
                     continue
                 log_other = lat.log_mass(u, other)
-                parent.taken[i].append(other)
+                taken[other] = math.exp(log_other)
                 middle = [t for e in other for t in lat.tokens(e)]
                 cut = int(parent.token_start[i])
                 tokens = np.concatenate([parent.tokens[:cut], np.array(middle, np.int32), tail])
                 starts = np.concatenate([parent.token_start[: i + 1], cut + len(middle) + tail_start])
                 logs = np.concatenate([parent.log_prob[:i], [log_other], tail_log])
-                s = Sample(value, tokens, starts, logs, _rest_values(logs, i + 1, value, own[i + 1 :]))
+                s = Sample(value, tokens, starts, logs, _rest_values(logs, i + 1, value, spent[offset[d] + i + 1 : offset[d + 1]], rest[a:b]))
                 # what is left of the set that was split: neither the parent's segmentation of the unit nor this one
-                gone = sum(math.exp(lat.log_mass(u, t)) for t in parent.taken[i])
-                left = 1.0 - gone
-                rest = np.log(left) if left > 1e-9 else -np.inf
-                parent.frontier[i] = -np.logaddexp(-value, np.log(rng.expovariate(1.0)) - (parent.log_prob[:i].sum() + rest))
+                left = 1.0 - sum(taken.values())
+                remains = np.log(left) if left > 1e-9 else -np.inf
+                parent.frontier[i] = -np.logaddexp(-value, np.log(rng.expovariate(1.0)) - (parent.log_prob[:i].sum() + remains))
             done[d].append(s)
             after[d] = _next(done[d])
         pending = {d: x for d, x in after.items() if x[2] > -np.inf}
@@ -650,30 +679,30 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
 
     @F.arrow_udf(sql)
     def pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        vocab = vocabulary(model, alpha)
-        for key_column, text_column in chain.from_iterable(slices(b, rows) for b in batches):
-            all_keys, all_texts = key_column.to_pylist(), text_column.to_pylist()
-            if not all_texts:
-                yield pa.array([], kind)
-            for a, b in _chunks(all_texts):
-                texts, keys = all_texts[a:b], all_keys[a:b]
-                coded, units, spelt = encode_texts(vocab, texts)
-                raw = [None if t is None else t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for t in texts] if check else [None] * len(texts)
-                back = raw if not check or vocab.sound else decoded_bytes(vocab, coded)
-                drawn = sample_texts(vocab, texts, keys, samples, seed, vocab.lattices_of(units), spelt) if samples and units else [[] for _ in texts]
-                if spelt and len(vocab.kept) < KEPT:
-                    vocab.keep(units, np.bincount(np.concatenate(spelt), minlength=len(units)))
-                flat = [x for s in drawn for x in s]
-                flat_raw = [r for r, s in zip(raw, drawn, strict=True) for _ in s]
-                flat_back = decoded_bytes(vocab, [x[3] for x in flat]) if check else flat_raw
-                columns = {
-                    "value": pa.array([x[0] for x in flat], pa.float64()), "log_prob": pa.array([x[1] for x in flat], pa.float64()), "inclusion": pa.array([x[2] for x in flat], pa.float64()),
-                    **token_columns([x[3] for x in flat], sample_ids), "decoded": same_bytes(flat_raw, flat_back),
-                }
-                ends = np.cumsum([0, *map(len, drawn)])
-                struct = pa.StructArray.from_arrays([columns[f.name] for f in _SAMPLE], fields=list(_SAMPLE))
-                found = token_columns(coded, ids) | {"decoded": same_bytes(raw, back), "samples": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)}
-                yield pa.StructArray.from_arrays([found[f.name] for f in kind], fields=list(kind))
+        with lent(model, alpha) as vocab:
+            for key_column, text_column in chain.from_iterable(slices(b, rows) for b in batches):
+                all_keys, all_texts = key_column.to_pylist(), text_column.to_pylist()
+                if not all_texts:
+                    yield pa.array([], kind)
+                for a, b in _chunks(all_texts):
+                    texts, keys = all_texts[a:b], all_keys[a:b]
+                    coded, units, spelt = encode_texts(vocab, texts)
+                    raw = [None if t is None else t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for t in texts] if check else [None] * len(texts)
+                    back = raw if not check or vocab.sound else decoded_bytes(vocab, coded)
+                    drawn = sample_texts(vocab, texts, keys, samples, seed, vocab.lattices_of(units), spelt) if samples and units else [[] for _ in texts]
+                    if spelt and len(vocab.kept) < KEPT:
+                        vocab.keep(units, np.bincount(np.concatenate(spelt), minlength=len(units)))
+                    flat = [x for s in drawn for x in s]
+                    flat_raw = [r for r, s in zip(raw, drawn, strict=True) for _ in s]
+                    flat_back = decoded_bytes(vocab, [x[3] for x in flat]) if check else flat_raw
+                    columns = {
+                        "value": pa.array([x[0] for x in flat], pa.float64()), "log_prob": pa.array([x[1] for x in flat], pa.float64()), "inclusion": pa.array([x[2] for x in flat], pa.float64()),
+                        **token_columns([x[3] for x in flat], sample_ids), "decoded": same_bytes(flat_raw, flat_back),
+                    }
+                    ends = np.cumsum([0, *map(len, drawn)])
+                    struct = pa.StructArray.from_arrays([columns[f.name] for f in _SAMPLE], fields=list(_SAMPLE))
+                    found = token_columns(coded, ids) | {"decoded": same_bytes(raw, back), "samples": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)}
+                    yield pa.StructArray.from_arrays([found[f.name] for f in kind], fields=list(kind))
         release_memory()
 
     name = fresh(docs, "pieces")

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -136,6 +137,32 @@ def test_remembered_units_change_nothing(docs):
     assert out[0] == out[1]
 
 
+def test_vocabulary_outlives_its_task():
+    """A function comes to each task with new globals; what one task built and learnt serves the next, unless it failed."""
+    shipped = cloudpickle.dumps(lambda: pieces.lent(MODEL, 0.5))
+    with cloudpickle.loads(shipped)() as first:
+        with cloudpickle.loads(shipped)() as other:  # one at a time has it
+            assert other is not first
+    with cloudpickle.loads(shipped)() as again:
+        assert again is first
+    with pytest.raises(ZeroDivisionError), cloudpickle.loads(shipped)() as again:
+        1 / 0
+    with cloudpickle.loads(shipped)() as fresh:
+        assert fresh is not first
+
+
+def test_steps_are_the_lattice(soft):
+    """The lists of a unit's edges say what the lattice says of each, at its last unit too."""
+    lat = soft.lattices(["therein", "", "naïve", "\U0001d54f x", "an"])
+    for u in range(5):
+        base, first, size, logs = lat.steps(u)
+        start = int(lat.start[u])
+        for node in range(len(first) - 1):
+            assert [base + e for e in range(first[node], first[node + 1])] == list(lat.edges(start + node))
+            for e in range(first[node], first[node + 1]):
+                assert lat.end(start + node, base + e) == start + node + size[e] and lat.log_prob(start + node, base + e) == logs[e]
+
+
 def test_odd_rows(spark, odd, none):
     out = {r.doc_id: r for r in pieces.encode(odd, MODEL).collect()}
     assert out[1].n_tokens == 0 and out[1].samples == [] and out[1].decoded is None and out[2].n_tokens == 0
