@@ -186,6 +186,16 @@ def release_driver(spark: SparkSession) -> None:
     _released[0] = time.monotonic()
 
 
+def release_executors(spark: SparkSession) -> None:
+    """Collect the executors' memory, so that Java's heap there shrinks to what is in use; with local masters, the driver's.
+
+    An executor's heap grows to what the busiest moment took and stays, while Python workers take theirs beside it. One task a core,
+    sent while nothing else runs, reaches every executor; collections asked for at the same time become one.
+    """
+    cores = 1 if spark.sparkContext.master.split("[")[0] == "local" else spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit affects every output bit."""
     with np.errstate(over="ignore"):

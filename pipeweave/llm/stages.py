@@ -3,6 +3,7 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet
 into the shared folder and reads it back for the next. All but the last return the columns of
 documents, whatever other names the table has: rows travel as one struct column beside the few columns that an operator reads.
+Each begins with the executors' memory collected, as their heaps have grown over the stage before.
 The last stage's results cannot be said in SQL; tests compare the stages with brute force and exact round trips.
 
 Nulls: a text without a letter (null too) is rejected by the first stage; a null language gets the
@@ -12,11 +13,14 @@ the document (by id) that stays. An empty table gives empty results at every sta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeweave.llm import langid, mixing, neardup, pieces, quality
-from pipeweave.llm.common import Workspace, key_crc
+from pipeweave.llm.common import Workspace, key_crc, release_executors
 
 #: A public SentencePiece model, at the same path on every executor.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,11 +36,23 @@ BUDGET = 0.8
 TEXTS = 300
 
 
+def _collected(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun with the executors' memory collected."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 def _carried(docs: DataFrame) -> DataFrame:
     """The columns that operators read, and the whole row as ``row``."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "lang", "source", "n_chars")
 
 
+@_collected
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts without a letter or unlike every learned language; fill in missing languages.
 
@@ -50,6 +66,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("row", F.col("row").withField("lang", F.coalesce("lang", "lang_pred"))).select("row.*")
 
 
+@_collected
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents of poor quality.
 
@@ -60,6 +77,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("quality_score") >= POOR).select("row.*")
 
 
+@_collected
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group.
 
@@ -71,6 +89,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select("row.*")
 
 
+@_collected
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents towards raked source, language and topic weights.
 
@@ -79,6 +98,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(_carried(docs), budget=BUDGET, returned=["row"]).where("selected").select("row.*")
 
 
+@_collected
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and two sampled segmentations beside them.
 

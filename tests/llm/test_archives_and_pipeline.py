@@ -188,3 +188,14 @@ def test_driver_gives_freed_memory_back(spark, docs, monkeypatch):
     monkeypatch.setattr(common, "RELEASE_S", 0.0, raising=False)
     assert space.save(few, "two").count() == 10 and full() > before
     space.keep()
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_begin_with_memory_collected(spark, docs, monkeypatch, stage):
+    """Before a stage does anything, tasks collect the heaps that the stage before has filled (here the driver's, as it has the tasks)."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(common, "RELEASE_S", 3600.0)
+    monkeypatch.setattr(common, "_released", [time.monotonic()])
+    before = full()
+    assert stage(spark, docs.limit(20), "/root/testdata/sf0.01") is not None and full() > before
