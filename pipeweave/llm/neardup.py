@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipeweave.llm.common import Workspace, mix64, release_memory, slices
+from pipeweave.llm.common import Workspace, mix64, release_executors, release_memory, slices
 
 WIDTH, SAMPLES, BANDS, BITS = 5, 128, 32, 256
 #: XOR bits above which a pair cannot be similar enough: 5.4 standard deviations above the mean at 0.75.
@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     crowd = space.save(dealt_join(placed, sizes, ["bucket"], most).where("size is not null"), "crowd")
     involved = crowd.select("id").distinct()
     sets = space.save(source.where(F.col("id").isNotNull()).join(involved, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    release_executors(docs.sparkSession)  # sets are large rows to deal out: heaps grow most here
     sketches = classes.select("id", "sketch").dropDuplicates(["id"])
     label = None
 
@@ -356,4 +357,5 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     group = F.coalesce("comp", "id")
     out = out.select(F.col("id").alias(key), "n_shingles", group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
     space.keep("features", "named")
+    release_executors(docs.sparkSession)
     return out

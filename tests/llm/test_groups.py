@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from pipeweave.llm import mixing, neardup, sharding, topk
+from pipeweave.llm import common, mixing, neardup, sharding, topk
 from pipeweave.llm.common import Workspace
 
 
@@ -98,6 +99,17 @@ def check_shards(out, n, shards=16):
     assert gaps.count() == 0
 
 
+def test_near_duplicates_collect_the_executors_memory(spark, docs, monkeypatch):
+    """Heaps are collected once the shingle sets are dealt out, and once more at the end (here the driver's, as it has the tasks)."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(common, "RELEASE_S", 3600.0)
+    monkeypatch.setattr(common, "_released", [time.monotonic()])
+    before = full()
+    found = neardup.near_duplicates(docs.limit(20))
+    assert full() >= before + 2 and found.count() == 20
+
+
 def test_shards_are_even_and_keep_groups(spark, docs):
     out = sharding.balanced_shards(docs).persist()
     check_shards(out, 1000)
