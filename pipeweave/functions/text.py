@@ -41,12 +41,27 @@ def size(s: Column) -> Column:
     return F.char_length(s).cast("bigint")
 
 
+#: Characters whose upper case in Spark is several, and the one character it is here (Unicode's simple mapping; ß has a capital of its own).
+_EXPANDING = {c: t if len(t := c.title()) == 1 else c for c in map(chr, range(0x110000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
+_RARE = {c: t for c, t in _EXPANDING.items() if c != "ß"}
+#: Characters whose lower case in Spark depends on their neighbours (a final sigma) or is several, and the one character it is here.
+ONE_LOWER = {"Σ": "σ", "İ": "i"}
+
+
+def _translate(s: Column, by: dict[str, str]) -> Column:
+    return F.translate(s, "".join(by), "".join(by.values()))
+
+
 def upper(s: Column) -> Column:
-    return F.upper(s)
+    """Each character in upper case, one for one, as SQL has it: the size stays."""
+    sharp = F.translate(s, "ß", "ẞ")
+    one = lambda c: F.when(c.isin(*_RARE), _translate(c, _RARE)).otherwise(F.upper(c))
+    return F.when(sharp.rlike(f"[{''.join(_RARE)}]"), F.array_join(F.transform(F.split(sharp, ""), one), "")).otherwise(F.upper(sharp))
 
 
 def lower(s: Column) -> Column:
-    return F.lower(s)
+    """Each character in lower case, one for one, as SQL has it: the size stays."""
+    return F.lower(_translate(s, ONE_LOWER))
 
 
 def trim(s: Column) -> Column:
@@ -62,7 +77,7 @@ def trim_end(s: Column) -> Column:
 
 
 def capitalize(s: Column) -> Column:
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 2147483647))
+    return F.concat(upper(F.substring(s, 1, 1)), F.substring(s, 2, 2147483647))
 
 
 def quote(text: str) -> str:
@@ -135,7 +150,7 @@ def trim_suffix(s: Column, part: str) -> Column:
 
 
 def equals_ignore_case(a: Column, b: Column | str) -> Column:
-    return F.lower(a) == F.lower(_c(b))
+    return lower(a) == lower(_c(b))
 
 
 def chars(s: Column) -> Column:

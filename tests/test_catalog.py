@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from testdata_paths import FIXTURE
 
+from pipeweave.functions import text
 from pipeweave.plans import catalog
 
 
@@ -38,6 +40,15 @@ def test_query_equals_its_sql(spark, duck, name):
         assert rows == sorted(tuple(map(cell, r)) for r in want)
 
 
+def test_case_of_every_character_equals_sql(spark, duck):
+    cased = [c for c in map(chr, range(0x110000)) if c != c.upper() or c != c.lower()]
+    texts = [None, "", "ab", *(x for c in cased for x in (c, f"{c}ßa", f"Aa{c}"))]
+    want = duck.execute("SELECT c, upper(c), lower(c), upper(c[1]) || c[2:] FROM (SELECT unnest(?::VARCHAR[]) AS c)", [texts]).fetchall()
+    c = F.col("c")
+    got = spark.createDataFrame([(x,) for x in texts], "c string").select("c", text.upper(c), text.lower(c), text.capitalize(c)).collect()
+    assert len(want) == len(texts) > 8000 and [(w, tuple(g)) for g, w in zip(got, want, strict=True) if tuple(g) != w] == []
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
