@@ -20,6 +20,8 @@ from pipeweave.operators.order import Comparison, Key, keys
 
 HIDDEN = "__o"
 POSITION = "__position"
+#: Rows that one task orders and holds; to take more, or to skip rows of a larger relation, goes by position.
+HEAD = 10_000
 
 
 class Unbounded(TypeError):
@@ -56,10 +58,11 @@ def positions(df: DataFrame, order: Sequence[Key], name: str = POSITION) -> Data
 
 
 class Rel:
-    def __init__(self, df: DataFrame, order: Sequence[Key] = (), unique: bool = False):
+    def __init__(self, df: DataFrame, order: Sequence[Key] = (), unique: bool = False, most: int | None = None):
         self.raw = df
         self.order = Comparison(order)
         self.unique = unique  # a set: no row comes twice, whatever it is mapped to
+        self.most = most  # how many rows there are at most, where that is known
 
     # construction and observation
 
@@ -95,7 +98,7 @@ class Rel:
             raise Unbounded(f"{step} needs a finite input, and a stream may not end; bound it first with take(n), or work in batches")
 
     def _keep(self, df: DataFrame) -> Rel:
-        return Rel(df, self.order, self.unique)
+        return Rel(df, self.order, self.unique, self.most)
 
     def as_set(self) -> Rel:
         """The rows as a set: each once, in no order. Filters and maps of a set are sets; sorting it gives a sequence."""
@@ -152,17 +155,32 @@ class Rel:
 
     def reverse(self) -> Rel:
         self.finite("reverse")
-        return Rel(self.raw, [k.reversed() for k in self.order])
+        return Rel(self.raw, [k.reversed() for k in self.order], most=self.most)
+
+    def _ordered(self) -> Rel:
+        """A collection in the order of its rows."""
+        return self if self.order else Rel(self.raw, keys(*self.columns), self.unique, self.most)
+
+    def _placed(self, start: int, end: int | None) -> Rel:
+        """Rows start..end-1 by position, for any number of rows: no task holds them."""
+        rows, at = self._ordered(), F.col("__place")
+        out = positions(rows.raw, rows.order, "__place").where((at >= start) if end is None else (at >= start) & (at < end))
+        return rows._keep(out.drop("__place"))
 
     def take(self, n: int) -> Rel:
         """The first n; of a collection, the n least rows."""
         if self.raw.isStreaming:
             return self._keep(self.raw.limit(n))
+        if n > HEAD:
+            return self._placed(0, n)
         by = [k.sorted() for k in self.order] or [F.col(c) for c in self.columns]
-        return Rel(self.raw.orderBy(*by).limit(n), self.order or keys(*self.columns))
+        return Rel(self.raw.orderBy(*by).limit(n), self.order or keys(*self.columns), most=n)
 
     def drop(self, n: int) -> Rel:
+        """All but the first n."""
         self.finite("drop")
+        if n > 0 and (self.most is None or self.most > HEAD):
+            return self._placed(n, None)
         return self._keep(self.raw.orderBy(*[k.sorted() for k in self.order]).offset(n))
 
     def top_k(self, k: int, by: Column | str) -> Rel:
@@ -192,20 +210,24 @@ class Rel:
         return Rel(out, self.order or [Key(F.col(name))])
 
     def at(self, i: int) -> Rel:
-        if i < 0:
-            return self.reverse().at(-1 - i)
-        return self.drop(i).take(1) if i else self.take(1)
+        return self.slice(i, i + 1 if i != -1 else None) if i else self.take(1)
 
     def slice(self, start: int | None = None, end: int | None = None) -> Rel:
         """Rows start..end-1; negatives count from the end."""
         self.finite("slice")
-        if (start or 0) >= 0 and end is not None and end >= 0:
-            out = self.take(end)
-            return out.drop(start) if start else out
-        n = self.raw.count()
-        a = max(0, n + start if start is not None and start < 0 else start or 0)
-        b = n + end if end is not None and end < 0 else n if end is None else end
-        return self.take(max(0, b)).drop(a)
+        start, rows = start or 0, self._ordered()
+        if -HEAD <= start < 0 and (end is None or end < 0):
+            back = [k.column.desc_nulls_first() if k.ascending else k.column.asc_nulls_first() for k in rows.order]
+            return Rel(rows.raw.orderBy(*back).limit(-start).offset(-(end or 0)), rows.order, rows.unique, -start)
+        if start < 0 or end is not None and end < 0:
+            n = self.raw.count()
+            start, end = max(0, n + start) if start < 0 else start, max(0, n + end) if end is not None and end < 0 else end
+        if end is None:
+            return rows.drop(start) if start else rows
+        if end > HEAD:
+            return rows._placed(start, end)
+        out = rows.take(end)
+        return out.drop(start) if start else out
 
     def position(self, by: Column) -> DataFrame:
         return self.enumerate(POSITION).raw.agg(F.min(F.when(by, F.col(POSITION))).alias("position"))

@@ -1,5 +1,6 @@
 """Small exact cases: order, absence, empty inputs, checked arithmetic, contracts, sources, streams."""
 
+import re
 import sqlite3
 
 import pytest
@@ -9,7 +10,7 @@ from testdata_paths import SMALL
 
 from pipeweave.functions import numbers, secrets, text, times, udf, values
 from pipeweave.operators import aggregates as A
-from pipeweave.operators import joins
+from pipeweave.operators import joins, rel
 from pipeweave.operators.order import descending
 from pipeweave.operators.rel import Rel, Unbounded
 from pipeweave.plans import explain, flow
@@ -49,6 +50,27 @@ def test_join_keys_match_absent_values(spark):
     assert joins.join(a, b, ["x"], ["x"]).df.count() == 1
 
 
+@pytest.mark.parametrize("head", [10_000, 3])  # by one task's head, and by positions
+def test_slices_are_those_of_a_list(spark, monkeypatch, head):
+    monkeypatch.setattr(rel, "HEAD", head)
+    want = [4, 1, 3, 9, 7, None]  # absent values stand last
+    s, set_ = Rel.of(spark.createDataFrame([(5, 7), (2, 1), (3, 3), (1, 4), (4, 9), (None, None)], "i long, x long").repartition(4), "i").map("x"), Rel(spark.range(6).repartition(3))
+    for a, b in [(0, 2), (1, 5), (2, None), (-2, None), (-5, -2), (-9, -1), (-9, -8), (-2, -4), (1, -2), (-3, 5), (4, 2), (0, 0), (None, None), (0, -9)]:
+        assert xs(s.slice(a, b)) == want[a:b], (a, b)
+        assert xs(set_.slice(a, b)) == list(range(6))[a:b], (a, b)
+    assert [xs(s.at(i)) for i in (0, 4, -1, -6, 6, -7)] == [[4], [7], [None], [4], [], []] and xs(s.reverse().slice(1, 3)) == [9, 3]
+    assert xs(s.drop(4)) == [7, None] and xs(s.take(5)) == want[:5] and xs(s.take(5).drop(2)) == want[2:5] and xs(s.drop(0)) == want
+
+
+def test_no_task_takes_all_rows_to_skip_some(spark):
+    """A drop, a place or a slice of a large relation: the plan has no step that takes every row into one task."""
+    s = Rel.of(spark.range(50_000).repartition(4), "id")
+    for out in (s.drop(7), s.at(7), s.at(-1), s.slice(-5, -2), s.slice(7), s.slice(7, -7), s.slice(-20_000, -7), s.take(20_000), s.slice(7, 20_000)):
+        plan = out.raw._jdf.queryExecution().executedPlan().toString()
+        sizes = plan.count("Window [sum(__n")  # one row a partition
+        assert plan.count("SinglePartition") == sizes and "GlobalLimit" not in plan and all(int(n) <= 10_000 for n in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan)), plan
+
+
 def test_ranks_with_a_tie(spark):
     s = Rel.of(spark.createDataFrame([("a", 9), ("b", 5), ("c", 9), ("d", 1)], "name string, score long"), "name")
     out = s.over([], [descending("score")], n=lambda w: w.row_number(), r=lambda w: w.rank(), d=lambda w: w.dense_rank())
