@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from pipeweave.operators.rel import Rel
 
@@ -20,7 +21,7 @@ def elementwise(kind: str) -> Callable:
 
 
 def reduction(kind: str) -> Callable:
-    """A function of all values of a group (Series in, one value out)."""
+    """A function of all values of a group (Series in, one value out); a group must fit a task, ``combined`` is for larger ones."""
 
     def wrap(f: Callable[[pd.Series], object]):
         def over(s):
@@ -32,6 +33,49 @@ def reduction(kind: str) -> Callable:
     return wrap
 
 
+def combined(kind: str, **parts: Callable[[pd.Series], object]) -> Callable:
+    """A reduction of groups of any size: a function of ``parts`` by name, each a function of a Series that may be applied again
+    to its own results for pieces of the group (min, max, sum). Pieces are reduced where the rows lie, only their results are dealt out.
+    """
+
+    def wrap(f: Callable[..., object]) -> Callable[[DataFrame, list[str], str, str], DataFrame]:
+        def over(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+            value, held = _parse_datatype_string(kind), [f"__{n}" for n in parts]
+            schema = StructType([*df.select(*by).schema.fields, *[StructField(h, value) for h in held]])
+            pieces = df.select(*by, df[column].alias("__x")).mapInArrow(_pieces(by, list(parts.values()), held, to_arrow_type(value)), schema)
+            merged = pieces.groupBy(*by).agg(*[reduction(kind)(part)(F.col(h)).alias(h) for h, part in zip(held, parts.values(), strict=True)])
+
+            def whole(*columns: pd.Series) -> pd.Series:
+                return pd.Series([f(**dict(zip(parts, row, strict=True))) for row in zip(*columns, strict=True)])
+
+            return merged.select(*by, elementwise(kind)(whole)(*[F.col(h) for h in held]).alias(name))
+
+        return over
+
+    return wrap
+
+
+def _pieces(by: list[str], parts: list[Callable], names: list[str], kind: pa.DataType) -> Callable:
+    """For each batch, a row for each key in it: the key, and the parts of its values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.zeros(batch.num_rows, np.int64)
+            for k in by:
+                key = batch.column(k).dictionary_encode("encode")
+                codes = np.unique(codes * len(key.dictionary) + key.indices.to_numpy(), return_inverse=True)[1]
+            values = batch.column("__x").to_pandas()
+            order = np.argsort(codes, kind="stable")
+            firsts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            runs = [values.iloc[at] for at in np.split(order, firsts[1:])]
+            keys = [batch.column(k).take(pa.array(order[firsts])) for k in by]
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array([part(x) for x in runs], kind, from_pandas=True) for part in parts]], names=[*by, *names])
+
+    return run
+
+
 def partition(schema: str, *by: str) -> Callable:
     """A function of one group's rows, a table in and a table out; a group must fit a task."""
     return lambda f: lambda rel: Rel(rel.raw.groupBy(*by).applyInPandas(f, schema))

@@ -237,14 +237,14 @@ def q_user_functions(t):
     def double(s: pd.Series) -> pd.Series:
         return s * 2
 
-    @udf.reduction("double")
-    def width(s: pd.Series) -> float:
-        return float(s.max() - s.min())
+    @udf.combined("double", low=pd.Series.min, high=pd.Series.max)
+    def width(low: float, high: float) -> float:
+        return high - low
 
-    q = F.col("l_quantity")
-    rows = t.lineitem.select("l_returnflag", double(q).alias("d"))
+    rows = t.lineitem.select("l_returnflag", double("l_quantity").alias("d"))
     sums = rows.groupBy("l_returnflag").agg(dec(F.sum("d"), 2).alias("twice"))
-    return sums.join(t.lineitem.groupBy("l_returnflag").agg(dec(width(q), 2).alias("width")), "l_returnflag")
+    widths = width(t.lineitem, ["l_returnflag"], "l_quantity", "width")
+    return sums.join(widths.withColumn("width", dec(F.col("width"), 2)), "l_returnflag")
 
 
 @query("""SELECT user_id, CAST(floor(max(value)) AS BIGINT) AS best, count(*) AS n FROM events GROUP BY user_id""")

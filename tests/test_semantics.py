@@ -257,6 +257,37 @@ def test_user_operations(spark):
     assert [r[0].is_ok for r in spark.range(2).select(fail("id")).collect()] == [False, True]
 
 
+def test_reduction_of_large_groups(spark):
+    import pandas as pd
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def low(s: pd.Series) -> float:
+        seen.add(int(len(s) > 10_000))
+        return s.min()
+
+    @udf.combined("double", low=low, high=pd.Series.max, n=lambda s: s.sum())
+    def spread(low: float, high: float, n: float) -> float:
+        return (high - low) * n
+
+    x = F.when(F.col("id") % 7 > 0, (F.col("id") % 1000).cast("double"))
+    df = spark.range(0, 60_000, 1, 2).select(F.when(F.col("id") < 50_000, "large").when(F.col("id") < 59_000, F.lit(None)).when(F.col("id") < 59_999, "small").alias("k"), (F.col("id") < 0).alias("b"), x.alias("x"))
+    df = df.unionByName(spark.createDataFrame([("none", True, None)], df.schema))
+    got = {(r.k, r.b): r.w for r in spread(df, ["k", "b"], "x", "w").collect()}
+    want = df.groupBy("k", "b").agg(((F.max("x") - F.min("x")) * F.sum("x")).alias("w")).collect()
+    assert len(got) == 4 and got == {(r.k, r.b): r.w for r in want} and got["none", True] is None
+    assert spread(df, [], "x", "w").count() == 1 and spread(df.limit(0), ["k"], "x", "w").count() == 0
+    assert seen.value == 0  # no piece is larger than a batch
+
+
+def test_user_functions_deal_out_no_rows(spark):
+    from pipeweave.plans import catalog
+
+    plan = catalog.queries()["q_user_functions"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    widths = plan[plan.index("__low") :]
+    assert "MapInArrow" in widths and re.search(r"MapInArrow", widths).start() > re.search(r"Exchange hashpartitioning", widths).start()
+
+
 def test_secrets(spark):
     key = F.lit(b"0123456789abcdef")
     assert one(spark, secrets.decrypt(secrets.encrypt(F.lit("hi"), key), key)) == bytearray(b"hi")
