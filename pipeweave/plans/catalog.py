@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pipeweave.functions import graph, numbers, search, text, times, values
 from pipeweave.operators import aggregates as A
 from pipeweave.operators import joins
-from pipeweave.operators.group import modes, semi_structured_key
+from pipeweave.operators.group import modes, quantiles_by_rank, semi_structured_key
 from pipeweave.operators.order import ascending, compare, descending
 from pipeweave.operators.rel import Rel
 from pipeweave.plans import flow
@@ -305,8 +305,8 @@ def q_stats_spread(t):
 @query("""SELECT l_returnflag, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90,
  list_transform(quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]), lambda x: round(x, 4))[1] AS q1 FROM lineitem GROUP BY l_returnflag""")
 def q_stats_quantiles(t):
-    p = F.col("l_extendedprice")
-    return Rel(t.lineitem).group("l_returnflag").map(median=dec(A.median(p)), p90=dec(A.quantile(p, 0.9)), q1=dec(F.get(A.quantiles(p, 4), F.lit(0))))
+    out = quantiles_by_rank(t.lineitem, ["l_returnflag"], "l_extendedprice", [0.5, 0.9, 0.25])
+    return out.select("l_returnflag", *[dec(F.get("quantiles", F.lit(i))).alias(n) for i, n in enumerate(("median", "p90", "q1"))])
 
 
 @query("SELECT user_id, arg_min(event_type, {'a': -n, 'b': event_type}) AS mode FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")

@@ -49,6 +49,11 @@ def test_case_of_every_character_equals_sql(spark, duck):
     assert len(want) == len(texts) > 8000 and [(w, tuple(g)) for g, w in zip(got, want, strict=True) if tuple(g) != w] == []
 
 
+def test_quantiles_hold_no_group_in_a_task(spark):
+    plan = catalog.queries()["q_stats_quantiles"](spark, FIXTURE)._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "median(" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
