@@ -42,7 +42,7 @@ def size(s: Column) -> Column:
 
 
 #: Characters whose upper case in Spark is several, and the one character it is here (Unicode's simple mapping; ß has a capital of its own).
-_EXPANDING = {c: t if len(t := c.title()) == 1 else c for c in map(chr, range(0x110000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
+_EXPANDING = {c: t if len(t := c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
 _RARE = {c: t for c, t in _EXPANDING.items() if c != "ß"}
 #: Characters whose lower case in Spark depends on their neighbours (a final sigma) or is several, and the one character it is here.
 ONE_LOWER = {"Σ": "σ", "İ": "i"}

@@ -7,7 +7,6 @@ import time
 import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 from py4j.protocol import Py4JError
@@ -16,14 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import pipeweave
+from pipeweave.operators.rel import small_batches
 
 # Functions sent to executors carry their own code, so an executor needs no copy of the package.
 cloudpickle.register_pickle_by_value(pipeweave)
 
 #: Rows of an Arrow batch worked on together. Spark bounds a batch by bytes; texts of one slice and what is made of them lie in memory at once.
 SLICE = 1000
-#: Bytes of an Arrow batch while an operator writes its own tables.
-BATCH = 8 << 20
 #: Seconds between two times that an operator gives the driver's freed memory back.
 RELEASE_S = 10.0
 _released = [0.0]
@@ -39,21 +37,6 @@ def slices(batch, rows: int = SLICE) -> Iterator:
         yield batch.slice(a, rows)
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of ``BATCH`` bytes for what is planned and run here; the session's own setting comes back.
-
-    Executors hold a batch in the JVM and in Python, and buffers of twice its size while it grows.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, with its file system named: ``spark.checkpoint.dir``, or a temporary one in local tests."""
     sc = spark.sparkContext

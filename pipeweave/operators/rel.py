@@ -9,7 +9,8 @@ a prefix sum over partition sizes, never by a window over all rows.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,8 @@ HIDDEN = "__o"
 POSITION = "__position"
 #: Rows that one task orders and holds; to take more, or to skip rows of a larger relation, goes by position.
 HEAD = 10_000
+#: Bytes of an Arrow batch while a step or an operator writes its own tables.
+BATCH = 8 << 20
 
 
 class Unbounded(TypeError):
@@ -39,6 +42,21 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH`` bytes for what is planned and run here; the session's own setting comes back.
+
+    Executors hold a batch in the JVM and in Python, and buffers of twice its size while it grows.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Fix a result that two evaluations could give differently: a checkpoint in the shared folder, or a cache without one."""
     sc = df.sparkSession.sparkContext

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from testdata_paths import SMALL
 
-from pipeweave.functions import numbers, secrets, text, times, udf, values
+from pipeweave.functions import numbers, search, secrets, text, times, udf, values
 from pipeweave.operators import aggregates as A
 from pipeweave.operators import joins, rel
 from pipeweave.operators.order import descending
@@ -288,6 +288,36 @@ def test_user_functions_deal_out_no_rows(spark):
     assert "MapInArrow" in widths and re.search(r"MapInArrow", widths).start() > re.search(r"Exchange hashpartitioning", widths).start()
 
 
+def test_lexical_scores_hold_a_piece_of_texts():
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def fnv(word):
+        h = search.FNV_OFFSET
+        for b in word.encode("utf-8", "surrogatepass"):
+            h = ((h ^ b) * search.FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
+        return h % search.BUCKETS
+
+    words = ["", "a", "ß€😀", "\ud800", "x" * 3000, *(f"w{i}" for i in range(500))]
+    assert search.word_buckets(words).tolist() == list(map(fnv, words)) and search.word_buckets([]).tolist() == []
+    assert list(search.pieces(pa.array(["ab", "c", None, "defg", "h", ""]), 3)) == [["ab", "c", None], ["defg"], ["h", ""]]
+    assert list(search.pieces(pa.array(["x", "é", "z"]).slice(1), 2)) == [["é"], ["z"]] and list(search.pieces(pa.array([], pa.string()))) == []
+    one, *rest = search.bags(["ΑΣ b_b İ", "ασ b b i", None, "..."])
+    assert (one == rest[0]).all() and abs(one @ one - 1) < 1e-12 and not rest[1].any() and not rest[2].any()
+    tracemalloc.start()
+    try:
+        kept = []
+        for n in range(4):  # words are not remembered from text to text
+            assert sum(1 for _ in search.bags([" ".join(f"v{n}x{i}" for i in range(20_000))])) == 1
+            gc.collect()
+            kept.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert kept[3] - kept[0] < 500_000, kept
+
+
 def test_secrets(spark):
     key = F.lit(b"0123456789abcdef")
     assert one(spark, secrets.decrypt(secrets.encrypt(F.lit("hi"), key), key)) == bytearray(b"hi")
